@@ -508,9 +508,11 @@ def pick_clips(blocks: DataFrame, least_s: float = 1.5, most_s: float = 20.0,
 def number_customers(clusters: DataFrame, label: str = "cluster") -> DataFrame:
     """``Customer n`` and ``SPEAKER_nn`` per cluster of a call, in order of first start."""
     first = clusters.groupBy("call_id", label).agg(F.min("start_s").alias("first_start_s"))
-    nth = F.row_number().over(Window.partitionBy("call_id").orderBy("first_start_s", label))
-    return (
-        first.withColumn("nth", nth)
-        .withColumn("display_speaker", F.concat(F.lit("Customer "), F.col("nth").cast("string")))
-        .withColumn("speaker", F.concat(F.lit("SPEAKER_"), F.lpad(F.col("nth").cast("string"), 2, "0")))
+    numbered = scan(
+        first, ["call_id"], ["first_start_s", label], {"nth": running_sum(F.lit(1).cast("bigint"))},
+        time_block("first_start_s"),
+    )
+    nth = F.col("nth").cast("string")
+    return numbered.withColumn("display_speaker", F.concat(F.lit("Customer "), nth)).withColumn(
+        "speaker", F.concat(F.lit("SPEAKER_"), F.when(F.length(nth) < 2, F.lpad(nth, 2, "0")).otherwise(nth))
     )

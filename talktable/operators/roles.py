@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import phrases
 from ..functions.text import keyword_hits
 from ..functions.times import clean_agent_name
-from .ordered import row_block, scan, sum_before
+from .ordered import key_sum, row_block, running_sum, scan, sum_before, time_block
 from .vectors import centroids
 
-_LENGTH = F.col("end_s") - F.col("start_s")
+def _length() -> Column:
+    return F.col("end_s") - F.col("start_s")
+
 
 
 def speaker_stats(segments: DataFrame) -> DataFrame:
     """Turns and seconds per display speaker of a call."""
     return segments.groupBy("call_id", "display_speaker").agg(
-        F.count("*").alias("turns"), F.sum(_LENGTH).alias("seconds")
+        F.count("*").alias("turns"), F.sum(_length()).alias("seconds")
     )
 
 
@@ -27,7 +29,7 @@ def role_totals(segments: DataFrame, first_chars: int = 120) -> DataFrame:
     named = F.col("identified_speaker").isin("AGENT", "CUSTOMER")
     first = F.min_by(F.trim("text"), F.when(named, F.col("seg_idx")))
     return segments.groupBy("call_id", role.alias("role")).agg(
-        F.round(F.sum(_LENGTH), 1).alias("time_s"),
+        F.round(F.sum(_length()), 1).alias("time_s"),
         F.count("*").alias("turns"),
         F.substring(F.coalesce(first, F.lit("")), 1, first_chars).alias("first_words"),
     )
@@ -36,7 +38,7 @@ def role_totals(segments: DataFrame, first_chars: int = 120) -> DataFrame:
 def talk_ratio(segments: DataFrame) -> DataFrame:
     """Agent and customer seconds, turns and the agent's share of the spoken time."""
     agent = F.col("identified_speaker") == "AGENT"
-    seconds = lambda cond: F.sum(F.when(cond, _LENGTH).otherwise(0.0))
+    seconds = lambda cond: F.sum(F.when(cond, _length()).otherwise(0.0))
     return (
         segments.groupBy("call_id")
         .agg(
@@ -74,7 +76,7 @@ def majority_identity(matched: DataFrame) -> DataFrame:
 def dominant_speaker(segments: DataFrame) -> DataFrame:
     """Speaker with most seconds per call, with the share of the call's time."""
     per = segments.where(F.col("speaker").isNotNull()).groupBy("call_id", "speaker").agg(
-        F.sum(_LENGTH).alias("seconds"), F.min("seg_idx").alias("first_idx")
+        F.sum(_length()).alias("seconds"), F.min("seg_idx").alias("first_idx")
     )
     rank = F.struct(F.round("seconds", 9), -F.col("first_idx"))
     return per.groupBy("call_id").agg(
@@ -125,11 +127,11 @@ def speaker_centroids(segments: DataFrame, least_s: float = 0.5, enough_s: float
     The segment that reaches the limit still counts. With ``count_unembedded`` segments without a
     vector use up the time as well.
     """
-    usable = segments.where(F.col("speaker").isNotNull() & (_LENGTH >= least_s))
+    usable = segments.where(F.col("speaker").isNotNull() & (_length() >= least_s))
     if not count_unembedded:
         usable = usable.where(F.col("embedding").isNotNull())
     spent = scan(
-        usable, ["call_id", "speaker"], ["seg_idx"], {"__spent": sum_before(_LENGTH)},
+        usable, ["call_id", "speaker"], ["seg_idx"], {"__spent": sum_before(_length())},
         row_block("seg_idx"),
     )
     return centroids(spent.where(F.col("__spent") < enough_s), ["call_id", "speaker"])
@@ -254,7 +256,7 @@ def label_roles(segments: DataFrame, threshold: float = 0.25) -> DataFrame:
         F.coalesce(F.nullif(F.col("agent_name"), F.lit("")),
                    F.nullif(F.col("display_speaker"), F.lit("")), F.lit("Agent")),
     )
-    length = F.greatest(F.lit(0.0), _LENGTH)
+    length = F.greatest(F.lit(0.0), _length())
     per_identity = (
         segments.select("call_id", "seg_idx", "start_s", label.alias("label"), identity.alias("agent"),
                         confidence.alias("conf"), length.alias("len"))
@@ -299,11 +301,16 @@ def label_roles(segments: DataFrame, threshold: float = 0.25) -> DataFrame:
         .select("call_id", "w.agent", "w.label")
     )
     agents = winners.unionByName(lone).withColumnRenamed("agent", "won")
-    roles = labels.join(agents, ["call_id", "label"], "left")
-    customers = F.col("won").isNull()
-    order = Window.partitionBy("call_id", customers).orderBy("first_start_s", "label")
-    many = F.count("*").over(Window.partitionBy("call_id", customers)) > 1
-    nth = F.row_number().over(order).cast("string")
+    one = F.lit(1).cast("bigint")
+    roles = scan(
+        labels.join(agents, ["call_id", "label"], "left").withColumn("customer", F.col("won").isNull()),
+        ["call_id", "customer"],
+        ["first_start_s", "label"],
+        {"nth": running_sum(one), "of": key_sum(one)},
+        time_block("first_start_s"),
+    )
+    customers, nth = F.col("customer"), F.col("nth").cast("string")
+    many = F.col("of") > 1
     clean = clean_agent_name(F.col("won"))
     customer_name = F.when(many, F.concat(F.lit("Customer "), nth)).otherwise("Customer")
     return roles.select(
@@ -334,7 +341,7 @@ def conversation_view(segments: DataFrame, threshold: float = 0.25) -> tuple[Dat
     groups = rows.groupBy("call_id", "speaker_key").agg(
         *[F.min_by(c, "seg_idx").alias(c) for c in ("role", "speaker_name", "display_speaker", "label")],
         F.count("*").alias("segment_count"),
-        F.round(F.sum(F.greatest(F.lit(0.0), _LENGTH)), 2).alias("talk_time"),
+        F.round(F.sum(F.greatest(F.lit(0.0), _length())), 2).alias("talk_time"),
         F.min("start_s").alias("first_start_s"),
         F.array_join(F.transform(said, lambda s: s["text"]), "\n").alias("text"),
     )
