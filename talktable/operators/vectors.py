@@ -30,6 +30,26 @@ def unit_vectors(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
     return vectors.withColumn(embedding, l2_normalize(F.col(embedding)))
 
 
+def _parts(rows: DataFrame, by: list[str], flags: list[str], embedding: str = "embedding") -> DataFrame:
+    """Per group a short array with mean and count of each combination of ``flags``."""
+    means = rows.groupBy(*by, *flags).agg(mean_vector(F.col(embedding)).alias("mean"), F.count("*").alias("rows"))
+    return means.groupBy(*by).agg(F.collect_list(F.struct(*flags, "mean", "rows")).alias("parts"))
+
+
+def _rows(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, p: acc + p["rows"])
+
+
+def _unit_mean(parts: Column) -> Column:
+    """Direction of the mean over several parts."""
+    total = F.aggregate(
+        F.slice(parts, 2, F.lit(1 << 20)),
+        F.transform(F.get(parts, F.lit(0))["mean"], lambda x: x * F.get(parts, F.lit(0))["rows"]),
+        lambda acc, p: F.zip_with(acc, p["mean"], lambda a, x: a + x * p["rows"]),
+    )
+    return l2_normalize(total)
+
+
 def tighten(
     vectors: DataFrame,
     by: list[str],
@@ -51,22 +71,13 @@ def tighten(
     start = materialize(centroids(unit, by, embedding).select(*by, F.col("centroid").alias("c0")))
 
     sim1 = dot(v, F.col("c0"))
+    flagged1 = unit.join(start, by).withColumn("keep1", sim1 >= first)
     pass1 = materialize(
-        unit.join(start, by)
-        .withColumn("k1", sim1 >= first)
-        .groupBy(*by)
-        .agg(
-            F.count("*").alias("n"),
-            F.sum(F.col("k1").cast("bigint")).alias("n1"),
-            mean_vector(v).alias("all_mean"),
-            vector_to_array(
-                Summarizer.mean(array_to_vector(v), F.col("k1").cast("double"))
-            ).alias("k1_mean"),
-        )
-        .withColumn("use1", F.col("n1") >= least)
-        .withColumn(
-            "c1", l2_normalize(F.when(F.col("use1"), F.col("k1_mean")).otherwise(F.col("all_mean")))
-        )
+        _parts(flagged1, by, ["keep1"])
+        .withColumn("n", _rows(F.col("parts")))
+        .withColumn("kept", F.filter("parts", lambda p: p["keep1"]))
+        .withColumn("use1", _rows(F.col("kept")) >= least)
+        .withColumn("c1", _unit_mean(F.when(F.col("use1"), F.col("kept")).otherwise(F.col("parts"))))
         .join(start, by)
         .select(*by, "n", "c0", "use1", "c1")
     )
@@ -76,19 +87,14 @@ def tighten(
             "keep2", F.col("keep1") & (dot(v, F.col("c1")) >= second)
         )
 
-    weight = lambda c: F.col(c).cast("double")
+    flagged2 = with_keep1(unit.join(pass1, by)).where("keep1")
     pass2 = materialize(
-        with_keep1(unit.join(pass1, by))
-        .groupBy(*by)
-        .agg(
-            F.sum(F.col("keep1").cast("bigint")).alias("n_keep1"),
-            F.sum(F.col("keep2").cast("bigint")).alias("n_keep2"),
-            vector_to_array(Summarizer.mean(array_to_vector(v), weight("keep1"))).alias("m1"),
-            vector_to_array(Summarizer.mean(array_to_vector(v), weight("keep2"))).alias("m2"),
-        )
-        .withColumn("use2", F.col("n_keep2") >= least)
-        .withColumn("centroid", l2_normalize(F.when(F.col("use2"), F.col("m2")).otherwise(F.col("m1"))))
-        .withColumn("n_kept", F.when(F.col("use2"), F.col("n_keep2")).otherwise(F.col("n_keep1")))
+        _parts(flagged2, by, ["keep2"])
+        .withColumn("kept", F.filter("parts", lambda p: p["keep2"]))
+        .withColumn("use2", _rows(F.col("kept")) >= least)
+        .withColumn("chosen", F.when(F.col("use2"), F.col("kept")).otherwise(F.col("parts")))
+        .withColumn("centroid", _unit_mean(F.col("chosen")))
+        .withColumn("n_kept", _rows(F.col("chosen")))
         .join(pass1, by)
         .select(*by, "n", "n_kept", "c0", "use1", "c1", "use2", "centroid")
     )
