@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import phrases
+from .binding import let
 
 
 def _text(text: Column) -> Column:
@@ -23,7 +24,7 @@ def norm_text(text: Column) -> Column:
 
 def norm_punct(text: Column, keep_gap: bool) -> Column:
     """Lower case without punctuation, which becomes a space (``keep_gap``) or nothing."""
-    bare = F.regexp_replace(F.lower(_text(text)), r"(?U)[^\w\s]", " " if keep_gap else "")
+    bare = F.regexp_replace(F.lower(_text(text)), r"(?U)[^\p{L}\p{N}_\s]", " " if keep_gap else "")
     return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
 
 
@@ -58,11 +59,6 @@ def backchannel_start(text: Column, most_words: int = 15) -> Column:
     return (F.size(words) <= most_words) & first.isin(phrases.BACKCHANNEL_STARTS)
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once per row, also where lambdas refer to it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def top_word_count(words: Column) -> Column:
     """Count of the most frequent word: longest run of the sorted list, so n log n and not n²."""
 
@@ -102,7 +98,7 @@ def repeats_in_a_row(words: Column, times: int) -> Column:
 
 def is_hallucination(text: Column, share: float = 0.45, in_a_row: int = 4) -> Column:
     """Punctuation only, or at least six words with one dominating or repeating in a row."""
-    bare = F.regexp_replace(_text(text), r"(?U)[^\w]", "")
+    bare = F.regexp_replace(_text(text), r"[^\p{L}\p{N}_]", "")
 
     def looping(words):
         dominant = top_word_count(words) / F.size(words) > share

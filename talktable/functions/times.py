@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 
 def _number(text: Column) -> Column:
     return F.when(text.rlike(r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"), text.try_cast("double"))
@@ -68,8 +70,16 @@ def slug(name: Column) -> Column:
 
 
 def clean_agent_name(name: Column) -> Column:
+    """``agent_`` dropped, underscores to spaces, a capital after everything that is no letter."""
     bare = F.replace(F.replace(name, F.lit("agent_"), F.lit("")), F.lit("_"), F.lit(" "))
-    return F.initcap(bare)
+
+    def titled(chars):
+        inside = lambda i: (i > 0) & F.get(chars, i - 1).rlike(r"\p{L}")
+        return F.array_join(
+            F.transform(chars, lambda c, i: F.when(inside(i), F.lower(c)).otherwise(F.upper(c))), ""
+        )
+
+    return let(F.split(bare, ""), titled)
 
 
 def names_match(identified: Column, expected: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(
@@ -21,16 +23,21 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit length in double; a zero vector stays as it is."""
-    length = norm(v)
-    return F.transform(
-        v, lambda x: x.cast("double") / F.when(length > 0, length).otherwise(F.lit(1.0))
-    )
+
+    def scaled(u):
+        return let(
+            norm(u),
+            lambda n: F.transform(u, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(F.lit(1.0))),
+        )
+
+    return let(v, scaled)
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine, 0 when either vector has no length."""
-    lengths = norm(a) * norm(b)
-    return F.when(lengths > 0, dot(a, b) / lengths).otherwise(F.lit(0.0))
+    return let(
+        norm(a) * norm(b), lambda n: F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
+    )
 
 
 def snr_bucket(snr_db: Column) -> Column:

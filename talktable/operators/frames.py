@@ -158,11 +158,12 @@ def embed_window(start_s: Column, end_s: Column, call_end_s: Column, shortest: f
                  pad_below: float = 0.8, pad_s: float = 0.2) -> Column:
     """Struct ``win_start_s, win_end_s, long_enough`` of the audio a segment is embedded from."""
     end = F.least(end_s, call_end_s)
-    short = end - start_s < pad_below
+    length = F.round(end - start_s, 9)
+    short = length < pad_below
     return F.struct(
         F.when(short, F.greatest(F.lit(0.0), start_s - pad_s)).otherwise(start_s).alias("win_start_s"),
         F.when(short, F.least(call_end_s, end + pad_s)).otherwise(end).alias("win_end_s"),
-        (end - start_s >= shortest).alias("long_enough"),
+        (length >= shortest).alias("long_enough"),
     )
 
 

@@ -7,7 +7,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, l2_normalize, norm
+from ..functions.binding import let
+from ..functions.vectors import cosine, dot, l2_normalize
 from ..storage import materialize
 
 
@@ -42,12 +43,16 @@ def _rows(parts: Column) -> Column:
 
 def _unit_mean(parts: Column) -> Column:
     """Direction of the mean over several parts."""
-    total = F.aggregate(
-        F.slice(parts, 2, F.lit(1 << 20)),
-        F.transform(F.get(parts, F.lit(0))["mean"], lambda x: x * F.get(parts, F.lit(0))["rows"]),
-        lambda acc, p: F.zip_with(acc, p["mean"], lambda a, x: a + x * p["rows"]),
-    )
-    return l2_normalize(total)
+
+    def total(ps):
+        first = F.get(ps, F.lit(0))
+        return F.aggregate(
+            F.slice(ps, 2, F.size(ps)),
+            F.transform(first["mean"], lambda x: x * first["rows"]),
+            lambda acc, p: F.zip_with(acc, p["mean"], lambda a, x: a + x * p["rows"]),
+        )
+
+    return l2_normalize(let(parts, total))
 
 
 def tighten(
@@ -130,10 +135,7 @@ def drop_outliers_once(
     unit = vectors.where(F.col(embedding).isNotNull())
     v = F.col(embedding)
     mean = materialize(centroids(unit, by, embedding).select(*by, F.col("centroid").alias("c0")))
-    lengths = norm(v)
-    scored = unit.join(mean, by).withColumn(
-        "__sim", F.when(lengths > 0, dot(v, F.col("c0")) / lengths).otherwise(F.lit(0.0))
-    )
+    scored = unit.join(mean, by).withColumn("__sim", cosine(v, F.col("c0")))
     ok = F.col("__sim") > threshold if strict else F.col("__sim") >= threshold
     counts = materialize(
         scored.groupBy(*by).agg(
@@ -151,7 +153,7 @@ def drop_outliers_once(
     final = materialize(centroids(kept, by, embedding).select(*by, "centroid", F.col("n").alias("n_used")))
     return (
         kept.join(final.select(*by, "centroid"), by)
-        .withColumn("__cos", F.when(lengths > 0, dot(v, F.col("centroid")) / lengths).otherwise(0.0))
+        .withColumn("__cos", cosine(v, F.col("centroid")))
         .groupBy(*by)
         .agg(
             F.avg("__cos").alias("mean_cosine"),
