@@ -358,10 +358,10 @@ def _(spark, d):
 
 
 @query("call_summary", sql("""
-    SELECT call_id, count(DISTINCT speaker) AS speakers, round(round(max(end_s), 6), 2) AS duration_s, round(avg(length(text) / 1000e0), 3) AS avg_confidence FROM v_segments GROUP BY call_id""", "v_segments"))
+    SELECT call_id, count(DISTINCT speaker) AS speakers, round(round(max(end_s), 6), 2) AS duration_s, round(avg(length(text) / 1009e0), 4) AS avg_confidence FROM v_segments GROUP BY call_id""", "v_segments"))
 def _(spark, d):
-    s = W.segments(spark, d).withColumn("confidence", F.length("text") / 1000.0).withColumn("end_s", F.round("end_s", 6))
-    return roles.call_summary(s).withColumn("avg_confidence", F.round("avg_confidence", 3))
+    s = W.segments(spark, d).withColumn("confidence", F.length("text") / 1009.0).withColumn("end_s", F.round("end_s", 6))
+    return roles.call_summary(s)
 
 
 @query("swap_roles", sql("""

@@ -201,6 +201,8 @@ def sql(body: str, *views: str) -> str:
     if not order:
         return body
     ctes = ", ".join(f"{v} AS ({SQL[v].strip()})" for v in order)
-    joiner = ", " if body.lstrip().upper().startswith("WITH ") else " "
-    rest = body.lstrip()[5:] if joiner == ", " else body.lstrip()
-    return f"WITH {ctes}{joiner}{rest}"
+    body = body.lstrip()
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return f"{head}{ctes}, {body[len(head):].lstrip()}"
+    return f"WITH {ctes} {body}"

@@ -27,6 +27,7 @@ from ..functions.text import (
     looks_like_question,
     short_customer_reply,
 )
+from ..storage import materialize
 from .ordered import BLOCK_ROWS, after, before, following, key_max, previous, row_block, scan
 
 LABEL = ["speaker", "role", "display", "agent_name"]
@@ -61,6 +62,12 @@ def _scan(rows: DataFrame, values: dict, block_rows: int | None) -> DataFrame:
     return scan(rows, ["call_id"], ["seg_idx"], values, block)
 
 
+def _cut(block_rows: int | None):
+    """What to do between two scans: on blocks every scan reads its input twice, so a chain of
+    them is written out in between; plain windows need one shuffle for the whole chain."""
+    return (lambda df: df) if block_rows is None else materialize
+
+
 def _alternate(rows: DataFrame, condition: str, block_rows: int | None) -> DataFrame:
     """Add ``__hit``: first, third, fifth … row of every run of rows with ``condition``."""
     c = F.coalesce(F.col(condition), F.lit(False))
@@ -127,14 +134,13 @@ def _sandwich(segments: DataFrame, able: Column, sims: bool, strong: float,
 
 
 def smooth_sandwich(segments: DataFrame, tight_s: float = 0.6, loose_s: float = 2.5,
-                    weak: float = 0.30, strong: float = 0.40, block_rows: int | None = BLOCK_ROWS,
-                    cut=lambda df: df) -> DataFrame:
+                    weak: float = 0.30, strong: float = 0.40, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
     """Short rows between two equal labels take that label.
 
     First rows up to ``tight_s``; then rows up to ``loose_s`` of weak similarity, when a neighbour
-    is strong. ``cut`` is applied between the two.
+    is strong.
     """
-    tight = cut(_sandwich(segments, _length() <= tight_s, False, strong, block_rows))
+    tight = _cut(block_rows)(_sandwich(segments, _length() <= tight_s, False, strong, block_rows))
     return _sandwich(tight, (_length() <= loose_s) & (_sim() < weak), True, strong, block_rows)
 
 
@@ -175,14 +181,14 @@ def demote_zero_sim(segments: DataFrame, zero: float = 0.10, block_rows: int | N
 
 
 def correct_roles(segments: DataFrame, short_s: float = 0.95, weak: float = 0.30,
-                  farewell_sim: float = 0.18, block_rows: int | None = BLOCK_ROWS,
-                  cut=lambda df: df) -> DataFrame:
+                  farewell_sim: float = 0.18, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
     """Short agent replies to an agent question go to the nearest customer; a customer farewell at
     the end of a call goes to the agent.
 
     Needs ``call_agent`` (the call's agent name) per row. Rows are expected in the order of their
     mid-points, as transcripts are. Adds nothing; returns the same columns.
     """
+    cut = _cut(block_rows)
     columns = segments.columns
     agent, customer = F.col("role") == "AGENT", F.col("role") == "CUSTOMER"
     state = F.struct(

@@ -199,9 +199,9 @@ def identify_calls(
     cut = (lambda df: df) if blocks is None else materialize
     passed = labelled.select("call_id", "seg_idx", "start_s", "end_s", "text", "sim", "call_agent", *LABEL)
     passed = cut(fill_unlabelled(passed, block_rows=blocks))
-    passed = cut(smooth_sandwich(passed, block_rows=blocks, cut=cut))
+    passed = cut(smooth_sandwich(passed, block_rows=blocks))
     passed = cut(demote_zero_sim(demote_backchannel(passed), block_rows=blocks))
-    passed = cut(correct_roles(passed, block_rows=blocks, cut=cut))
+    passed = cut(correct_roles(passed, block_rows=blocks))
 
     sim = F.coalesce(F.col("hit_sim"), F.lit(0.0))
     warning = F.when(
