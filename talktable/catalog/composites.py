@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.phrases import AGENT_KEYWORDS, CUSTOMER_KEYWORDS
 from ..operators import cluster, matching, passes, roles
 from ..operators import vectors as V
 from ..plans import desk, enrol, evaluate, identify
@@ -212,15 +213,26 @@ def _(spark, d):
     return out.select("call_id", "speaker", "agent", *R("sim"))
 
 
+def _hits(words):
+    quoted = [w.replace("'", "''") for w in words]
+    return " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in quoted)
+
+
 @query("agent_speaker", sql(f"""
     WITH {_CENTROIDS}, {_TALK},
     reg AS (SELECT * FROM (SELECT call_id, speaker, row_number() OVER (PARTITION BY call_id ORDER BY round(sum(o), 9) DESC, min(seg_idx)) AS rn FROM (
               SELECT s.call_id, s.seg_idx, s.speaker, least(s.end_s, t.end_s) - greatest(s.start_s, t.start_s) AS o FROM v_segments s JOIN v_turns t
               ON s.call_id = t.call_id AND s.start_s < t.end_s AND t.start_s < s.end_s AND t.speaker = 'signup' AND t.end_s > t.start_s) GROUP BY call_id, speaker) WHERE rn = 1),
-    en AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY sim DESC, speaker DESC) AS rn FROM sc WHERE agent_slug = 'agent_1') WHERE rn = 1 AND sim > 0.05e0)
-    SELECT dom.call_id, coalesce(reg.speaker, en.speaker, dom.speaker) AS speaker,
-           CASE WHEN reg.speaker IS NOT NULL THEN 'regions' WHEN en.speaker IS NOT NULL THEN 'voiceprint' ELSE 'talk_time' END AS method
-    FROM dom LEFT JOIN reg USING (call_id) LEFT JOIN en USING (call_id)""", "v_segments", "v_registry", "v_turns"))
+    en AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY sim DESC, speaker DESC) AS rn FROM sc WHERE agent_slug = 'agent_1') WHERE rn = 1 AND sim > 0.05e0),
+    kw AS (SELECT call_id, speaker, sum(2 * a - c) AS score, min(seg_idx) AS f FROM (
+             SELECT *, {_hits(AGENT_KEYWORDS)} AS a, {_hits(CUSTOMER_KEYWORDS)} AS c FROM v_segments) WHERE a > 0 OR c > 0 GROUP BY call_id, speaker),
+    kr AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY score DESC, f) AS rn FROM kw),
+    ko AS (SELECT call_id, min_by(score, f) AS other FROM kr WHERE rn > 1 GROUP BY call_id),
+    k AS (SELECT kr.call_id, kr.speaker FROM kr LEFT JOIN ko USING (call_id) WHERE rn = 1 AND score >= 2 AND score - coalesce(other, 0) >= 1)
+    SELECT dom.call_id, coalesce(reg.speaker, en.speaker, k.speaker, dom.speaker) AS speaker,
+           CASE WHEN reg.speaker IS NOT NULL THEN 'regions' WHEN en.speaker IS NOT NULL THEN 'voiceprint'
+                WHEN k.speaker IS NOT NULL THEN 'keywords' ELSE 'talk_time' END AS method
+    FROM dom LEFT JOIN reg USING (call_id) LEFT JOIN en USING (call_id) LEFT JOIN k USING (call_id)""", "v_segments", "v_registry", "v_turns"))
 def _(spark, d):
     regions = W.turns(spark, d).where("speaker = 'signup'")
     one = _speaker_scores(spark, d).where("agent_slug = 'agent_1'")

@@ -302,16 +302,16 @@ def _(spark, d):
 
 @query("majority_identity", sql("""
     WITH s AS (SELECT call_id, seg_idx, CASE WHEN seg_idx < 5 THEN 'SPEAKER_00' ELSE 'SPEAKER_01' END AS speaker,
-                      CASE WHEN best_sim >= 0.15e0 THEN best_match ELSE 'Customer' END AS identity, round(best_sim, 4) AS confidence FROM v_best),
+                      CASE WHEN best_sim >= 0.15e0 THEN best_match ELSE 'Customer' END AS identity, best_sim AS confidence FROM v_best),
     w AS (SELECT * FROM (SELECT call_id, speaker, identity, round(sum(confidence) / count(*), 4) AS conf,
                  row_number() OVER (PARTITION BY call_id, speaker ORDER BY round(sum(confidence), 9) DESC, min(seg_idx)) AS rn
           FROM s GROUP BY call_id, speaker, identity) WHERE rn = 1)
-    SELECT s.call_id, s.seg_idx, s.speaker, w.identity AS identified_speaker, round(w.conf, 3) AS confidence FROM s JOIN w USING (call_id, speaker)""", "v_best"))
+    SELECT s.call_id, s.seg_idx, s.speaker, w.identity AS identified_speaker, w.conf AS confidence FROM s JOIN w USING (call_id, speaker)""", "v_best"))
 def _(spark, d):
     m = matching.best_match(W.vectors(spark, d), W.registry(spark, d), CUT).select(
         "call_id", "seg_idx", F.when(F.col("seg_idx") < 5, "SPEAKER_00").otherwise("SPEAKER_01").alias("speaker"),
-        "identity", F.round("best_sim", 4).alias("confidence"))
-    return roles.majority_identity(m).withColumn("confidence", F.round("confidence", 3))
+        "identity", F.col("best_sim").alias("confidence"))
+    return roles.majority_identity(m)
 
 
 @query("two_speaker_split")

@@ -5,15 +5,20 @@ Every view covers the whole of its source table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import number_rows, row_block, scan, sum_before
 from ..operators.vectors import centroids
 
-# start of the clock of the event table in microseconds, and its 1000-fold compression
+# start of the clock of the event table in microseconds; a millisecond of it plays a microsecond
 EPOCH_US = 1704067200000000
-CLOCK = 1e9
+
+
+def clock() -> Column:
+    """Seconds of the compressed clock, in whole microseconds."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_US
+    return F.floor(micros / F.lit(1000.0)) / F.lit(1e6)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def turns(spark, sf_dir) -> DataFrame:
     """Diarizer turns: one per event."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    start = (micros - EPOCH_US) / F.lit(CLOCK)
+    start = clock()
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("call_id"), F.col("event_id").alias("turn_idx"), start.alias("start_s"),
         (start + F.col("value")).alias("end_s"), F.col("event_type").alias("speaker"),
@@ -105,7 +109,7 @@ def calls(spark, sf_dir) -> DataFrame:
     """Call index: one row per user."""
     t = table(spark, sf_dir, "events")
     agent = F.col("event_type").isin("click", "purchase").cast("bigint")
-    start = (F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_US) / F.lit(CLOCK)
+    start = clock()
     return t.groupBy(F.col("user_id").alias("call_id")).agg(
         F.concat(F.lit("agent_"), F.substring(F.col("user_id").cast("string"), -1, 1)).alias("agent_slug"),
         F.round(F.max(start + F.col("value")), 6).alias("duration_s"),
@@ -126,8 +130,8 @@ def lines(spark, sf_dir) -> DataFrame:
 
 SQL = {
     "v_turns": """
-        SELECT user_id AS call_id, event_id AS turn_idx, (epoch_us(ts) - 1704067200000000) / 1e9 AS start_s,
-               (epoch_us(ts) - 1704067200000000) / 1e9 + value AS end_s, event_type AS speaker,
+        SELECT user_id AS call_id, event_id AS turn_idx, floor((epoch_us(ts) - 1704067200000000) / 1000e0) / 1e6 AS start_s,
+               floor((epoch_us(ts) - 1704067200000000) / 1000e0) / 1e6 + value AS end_s, event_type AS speaker,
                event_type IN ('click', 'purchase') AS is_agent
         FROM events""",
     "v_system": """
@@ -171,7 +175,7 @@ SQL = {
              USING (call_id)""",
     "v_calls": """
         SELECT user_id AS call_id, 'agent_' || right(CAST(user_id AS VARCHAR), 1) AS agent_slug,
-               round(max((epoch_us(ts) - 1704067200000000) / 1e9 + value), 6) AS duration_s, min(ts) AS connect_time,
+               round(max(floor((epoch_us(ts) - 1704067200000000) / 1000e0) / 1e6 + value), 6) AS duration_s, min(ts) AS connect_time,
                CAST(sum(CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END) AS BIGINT) AS n_agent_phrases,
                count(*) AS n_total_phrases, min(event_id) AS idx, round(sum(value), 6) AS value_sum
         FROM events GROUP BY user_id""",

@@ -101,7 +101,9 @@ def is_hallucination(text: Column, share: float = 0.45, in_a_row: int = 4) -> Co
     bare = F.regexp_replace(_text(text), r"[^\p{L}\p{N}_]", "")
 
     def looping(words):
-        dominant = top_word_count(words) / F.size(words) > share
+        # a dominating word leaves few other words, which is cheaper to see
+        few = F.size(F.array_distinct(words)) - 1 < (1 - share) * F.size(words)
+        dominant = few & (top_word_count(words) / F.size(words) > share)
         return (F.size(words) >= 6) & (dominant | repeats_in_a_row(words, in_a_row))
 
     return (bare == "") | let(split_words(F.lower(_text(text))), looping)

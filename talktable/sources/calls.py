@@ -76,14 +76,19 @@ def normalize_phrases(raw: DataFrame, column: str = "json", keep: list[str] = ["
         *keep, F.posexplode(F.try_variant_get(F.try_parse_json(column), "$", "array<variant>")).alias("phrase_idx", "v")
     )
     v = F.col("v")
-    time = lambda names: F.round(to_seconds(F.coalesce(_first_filled(v, names), F.lit("0"))), 3)
-    text = lambda names: F.trim(F.coalesce(_first_filled(v, names), F.lit("")))
-    return items.select(
+    # the fields are read from the document once, then converted
+    read = items.select(
         *keep, "phrase_idx",
-        time(["start", "startTime", "start_time"]).alias("start_s"),
-        time(["end", "endTime", "end_time"]).alias("end_s"),
-        text(["speaker", "speakerName", "name"]).alias("speaker"),
-        text(["text", "content", "transcript", "phrase", "original"]).alias("text"),
+        _first_filled(v, ["start", "startTime", "start_time"]).alias("start"),
+        _first_filled(v, ["end", "endTime", "end_time"]).alias("end"),
+        _first_filled(v, ["speaker", "speakerName", "name"]).alias("speaker"),
+        _first_filled(v, ["text", "content", "transcript", "phrase", "original"]).alias("text"),
+    )
+    time = lambda c: F.round(to_seconds(F.coalesce(F.col(c), F.lit("0"))), 3)
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    return read.select(
+        *keep, "phrase_idx", time("start").alias("start_s"), time("end").alias("end_s"),
+        text("speaker").alias("speaker"), text("text").alias("text"),
     ).where(F.col("end_s") > F.col("start_s"))
 
 
