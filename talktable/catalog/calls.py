@@ -44,7 +44,7 @@ def _call_json(spark, d):
         F.when(F.col("lang") != "de", F.concat(F.lit("s3://calls/"), F.col("doc_id").cast("string"))).alias("horizon_call_s3_url"),
         (F.length("text") / 15.0).alias("duration"), F.lit("2024-01-02 03:04:05").alias("connect_time"),
         F.lit("sales").alias("call_type"), F.lit("in").alias("direction"), phrases.alias("speaker_json"))
-    return W.table(spark, d, "documents").select(F.to_json(doc).alias("json"))
+    return W.heavy(spark, d, "documents").select(F.to_json(doc).alias("json"))
 
 
 @query("read_calls", f"""
@@ -81,7 +81,7 @@ def _(spark, d):
         .when(kind == "signup", F.to_json(item("start", "endTime", "name", "original")))
         .otherwise(F.to_json(item("start", "end", "speaker", "phrase", 0)))
     )
-    raw = W.table(spark, d, "events").select("event_id", F.concat(F.lit("["), js, F.lit(", 7]")).alias("json"))
+    raw = W.heavy(spark, d, "events").select("event_id", F.concat(F.lit("["), js, F.lit(", 7]")).alias("json"))
     out = S.normalize_phrases(raw, keep=["event_id"])
     return out.select("event_id", *[F.round(c, 3).alias(c) for c in ("start_s", "end_s")], "speaker", "text")
 
@@ -151,7 +151,7 @@ def _(spark, d):
         .when(lang == "fr", F.to_json(F.struct(words.alias("words"), F.lit("x").alias("transcript"))))
         .otherwise(F.to_json(F.struct(F.col("text").alias("transcript"))))
     )
-    out = X.asr_to_segments(W.table(spark, d, "documents").select(F.col("doc_id").alias("call_id"), js.alias("json")))
+    out = X.asr_to_segments(W.heavy(spark, d, "documents").select(F.col("doc_id").alias("call_id"), js.alias("json")))
     return out.select("call_id", "seg_idx", "start_s", "end_s", "text", "speaker")
 
 

@@ -163,7 +163,7 @@ _WORDS = r"list_filter(regexp_split_to_array({t}, '\s+'), lambda w: w <> '')"
     SELECT doc_id FROM w LEFT JOIN top USING (doc_id) LEFT JOIN r USING (doc_id)
     WHERE regexp_replace(text, '[^\p{{L}}\p{{N}}_]', '', 'g') <> '' AND NOT coalesce(top.bad, false) AND NOT coalesce(r.bad, false)""")
 def _(spark, d):
-    return W.table(spark, d, "documents").where(~T.is_hallucination(F.col("text"))).select("doc_id")
+    return W.heavy(spark, d, "documents").where(~T.is_hallucination(F.col("text"))).select("doc_id")
 
 
 @query("truncate_repetition", rf"""
@@ -175,7 +175,7 @@ def _(spark, d):
     SELECT doc_id, CASE WHEN len(w) < 8 THEN text WHEN cut >= 4 THEN array_to_string(w[1:cut], ' ') WHEN cut IS NOT NULL THEN ''
            WHEN len(list_distinct(w)) / len(w) < 0.35 THEN '' ELSE text END AS text FROM w LEFT JOIN c USING (doc_id)""")
 def _(spark, d):
-    return W.table(spark, d, "documents").select("doc_id", T.truncate_repetition(F.col("text")).alias("text"))
+    return W.heavy(spark, d, "documents").select("doc_id", T.truncate_repetition(F.col("text")).alias("text"))
 
 
 _A, _C = ["the", "die", "la ", "tion"], ["of", "und", "que", "ment"]
@@ -242,10 +242,10 @@ def _(spark, d):
 def _(spark, d):
     """Whole documents against themselves without some of their most frequent words."""
     t = F.col("text")
-    docs = W.table(spark, d, "documents").select(
+    docs = W.heavy(spark, d, "documents").select(
         "doc_id", T.norm_punct(t, True).alias("ref"),
         T.norm_punct(F.regexp_replace(t, r"\b(the|of|die|und|la|que)\b", ""), True).alias("hyp"))
-    return words.with_wer(docs, "ref", "hyp", spread=["doc_id"]).select("doc_id", "wer")
+    return words.with_wer(docs, "ref", "hyp").select("doc_id", "wer")
 
 
 @query("role_wer")

@@ -129,7 +129,7 @@ def _first_repeat(words: Column, n: int) -> Column:
             )
         )
 
-    return let(F.array_sort(phrases), earliest)
+    return let(F.sort_array(phrases), earliest)
 
 
 def truncate_repetition(text: Column) -> Column:

@@ -104,7 +104,7 @@ def _in_tasks(vectors: DataFrame, by: list[str], order: str, label) -> DataFrame
 def _centre_table(rows: DataFrame, by: list[str]) -> DataFrame:
     """One row per group with its centres as a short array ordered by cluster."""
     return materialize(
-        rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cluster", "centre"))).alias("centres"))
+        rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("cluster", "centre"))).alias("centres"))
     )
 
 

@@ -464,7 +464,7 @@ def group_words_by_speaker(words: DataFrame) -> DataFrame:
         linked.withColumn("__fresh", fresh), ["call_id"], order,
         {"utt_idx": running_sum(F.col("__fresh"))}, block,
     )
-    spoken = F.array_sort(F.collect_list(F.struct("word_idx", "word")))
+    spoken = F.sort_array(F.collect_list(F.struct("word_idx", "word")))
     return (
         islands.groupBy("call_id", "utt_idx")
         .agg(

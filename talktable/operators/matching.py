@@ -140,7 +140,7 @@ def _score_in_chunks(vectors: DataFrame, registry: DataFrame, prints: int, embed
     merged = parts.groupBy(*columns, "__copies").agg(
         F.flatten(F.collect_list(F.coalesce("scores", F.array().cast(_SCORES)))).alias("scores")
     )
-    ordered = F.array_sort(F.col("scores"), _by_slug)
+    ordered = F.sort_array("scores")
     return (
         merged.withColumn("scores", F.when(F.size("scores") > 0, ordered))
         .withColumn("__copies", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))))
@@ -148,10 +148,6 @@ def _score_in_chunks(vectors: DataFrame, registry: DataFrame, prints: int, embed
     )
 
 
-def _by_slug(a, b):
-    return F.when(a["agent_slug"] < b["agent_slug"], -1).when(a["agent_slug"] > b["agent_slug"], 1).otherwise(0)
-
-
 def score_vectors(
     vectors: DataFrame,
     registry: DataFrame,

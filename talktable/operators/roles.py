@@ -335,7 +335,7 @@ def conversation_view(segments: DataFrame, threshold: float = 0.25) -> tuple[Dat
     unnamed = {"role": "Customer", "speaker_key": "customer_1", "speaker_name": "Customer",
                "display_speaker": "Customer"}
     rows = plain.join(roles, ["call_id", "label"], "left").fillna(unnamed)
-    said = F.array_sort(
+    said = F.sort_array(
         F.collect_list(F.when(F.col("text") != "", F.struct("seg_idx", "text")))
     )
     groups = rows.groupBy("call_id", "speaker_key").agg(

@@ -40,16 +40,8 @@ def word_errors(ref: Column, hyp: Column) -> Column:
     return _distance(F.coalesce(ref, F.lit("")), F.coalesce(hyp, F.lit("")))
 
 
-def with_wer(pairs: DataFrame, ref: str, hyp: str, name: str = "wer",
-             spread: list[str] | None = None) -> DataFrame:
-    """Edits per reference word; an empty reference gives 1 if the hypothesis has words, else 0.
-
-    The work grows with the square of a text's length, so rows straight from files can be
-    ``spread`` by key over all tasks first.
-    """
-    if spread:
-        tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        pairs = pairs.repartition(tasks, *spread)
+def with_wer(pairs: DataFrame, ref: str, hyp: str, name: str = "wer") -> DataFrame:
+    """Edits per reference word; an empty reference gives 1 if the hypothesis has words, else 0."""
     count = lambda c: F.when(F.trim(F.col(c)) == "", 0).otherwise(F.size(F.split(F.trim(F.col(c)), " +")))
     n, m = count(ref), count(hyp)
     rate = F.when(n == 0, F.when(m > 0, 1.0).otherwise(0.0)).otherwise(
@@ -60,7 +52,7 @@ def with_wer(pairs: DataFrame, ref: str, hyp: str, name: str = "wer",
 
 def spoken_text(turns: DataFrame, by: list[str], text: Column, order: str) -> DataFrame:
     """Texts of a group joined in order."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t"))))
+    parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t"))))
     return turns.groupBy(*by).agg(F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("text"))
 
 

@@ -180,7 +180,7 @@ def result_documents(segments: DataFrame, runs: DataFrame) -> DataFrame:
     """
     rest = [c for c in segments.columns if c not in ("call_id", "model")]
     nested = segments.groupBy("call_id", "model").agg(
-        F.array_sort(F.collect_list(F.struct("seg_idx", *[c for c in rest if c != "seg_idx"]))).alias("segments")
+        F.sort_array(F.collect_list(F.struct("seg_idx", *[c for c in rest if c != "seg_idx"]))).alias("segments")
     )
     return runs.join(nested, ["call_id", "model"], "left").withColumn(
         "run_id", F.concat_ws("__", F.col("call_id").cast("string"), "model")
