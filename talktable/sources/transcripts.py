@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.times import clock_millis, clock_minutes, clock_short, to_seconds
-from ..operators.intervals import group_words_by_speaker
 
 ASR = (
     "utterances array<struct<transcript:string,text:string,start:double,end:double,speaker:string,confidence:double>>, "
@@ -40,14 +40,25 @@ def asr_to_segments(responses: DataFrame, column: str = "json", time_scale: floa
         _speaker(F.col("u.speaker")).alias("speaker"),
         F.round(F.coalesce("u.confidence", F.lit(0.0)), 3).alias("confidence"),
     )
-    words = r.where(~has_utterances & has_words).select("call_id", F.posexplode("r.words").alias("word_idx", "w")).select(
-        "call_id", F.col("word_idx").cast("bigint"), F.coalesce("w.punctuated_word", "w.word", F.lit("")).alias("word"),
-        F.col("w.start").alias("start_s"), F.col("w.end").alias("end_s"), F.coalesce("w.speaker", F.lit("0")).alias("speaker"),
+    # the words of a response are one row's array, so they are grouped inside the row
+    speaker_of = lambda w: F.coalesce(w["speaker"], F.lit("0"))
+    boundary = lambda ws: F.filter(
+        F.sequence(F.lit(0), F.size(ws) - 1),
+        lambda i: (i == 0) | (speaker_of(F.get(ws, i)) != speaker_of(F.get(ws, i - 1))),
     )
-    grouped = group_words_by_speaker(words).select(
-        "call_id", (F.col("utt_idx") - 1).cast("bigint").alias("seg_idx"), seconds(F.col("start_s")).alias("start_s"),
-        seconds(F.col("end_s")).alias("end_s"), "text", _speaker(F.col("speaker")).alias("speaker"),
-        F.lit(0.0).alias("confidence"),
+    cut = r.where(~has_utterances & has_words).select(
+        "call_id", F.col("r.words").alias("ws"), let(F.col("r.words"), boundary).alias("starts")
+    )
+    runs = F.transform(
+        "starts",
+        lambda a, j: F.slice("ws", a + 1, F.coalesce(F.get("starts", j + 1), F.size("ws")) - a),
+    )
+    first, last = F.get("g", F.lit(0)), F.element_at("g", -1)
+    spoken_words = F.transform("g", lambda w: F.coalesce(w["punctuated_word"], w["word"], F.lit("")))
+    grouped = cut.select("call_id", F.posexplode(runs).alias("seg_idx", "g")).select(
+        "call_id", F.col("seg_idx").cast("bigint"), seconds(first["start"]).alias("start_s"),
+        seconds(last["end"]).alias("end_s"), F.trim(F.array_join(spoken_words, " ")).alias("text"),
+        _speaker(speaker_of(first)).alias("speaker"), F.lit(0.0).alias("confidence"),
     )
     whole = r.where(~has_utterances & ~has_words).select(
         "call_id", F.lit(0).cast("bigint").alias("seg_idx"), F.lit(0.0).alias("start_s"),

@@ -159,12 +159,12 @@ def test_conversation_view(spark):
 def cloud(spark):
     """Two speakers per call around fixed directions."""
     rng = np.random.default_rng(2)
-    base = rng.normal(size=(4, 16)) * 3
+    base = np.eye(16)[:4] * 12
     rows, idx = [], 0
     for call in range(4):
         for i in range(24):
             v = base[0 if i % 3 else 1 + call % 3] + rng.normal(size=16)
-            rows.append((call, i, i * 3.0, i * 3.0 + 2.5, "well then we go on", None if i % 8 == 7 else [float(x) for x in v]))
+            rows.append((call, i, i * 4.0, i * 4.0 + 3.5, "well then we go on", None if i % 8 == 7 else [float(x) for x in v]))
     return spark.createDataFrame(rows, "call_id int, seg_idx int, start_s double, end_s double, text string, embedding array<float>").cache(), base
 
 
@@ -200,7 +200,7 @@ def test_registry_size_does_not_change_scores(spark, cloud):
 
 def test_identify_on_blocks_and_across_tasks(spark, cloud):
     s, base = cloud
-    others = np.random.default_rng(9).normal(size=(3, 16))
+    others = np.eye(16)[8:11]
     reg = spark.createDataFrame(
         [(f"agent_{i}", f"Agent {i}", [float(x) for x in b], "0.2") for i, b in enumerate([base[0], *others])],
         "agent_slug string, agent_name string, embedding array<double>, max_outside_sim string")
