@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talktable.llm import packing, quality, simhash, substring
+from talktable.llm import licenses, packing, pieces, quality, simhash, substring, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,29 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.count_tokens(docs, tokenizer_file("byte_bpe_50k.json")).drop("text")
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.concat_ws(",", "sentence_ids").alias("sentence_ids"), F.concat_ws(",", "licenses").alias("licenses"), "n_unknown"
+    )
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of each text, and whether decoding them gives the text back."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    coded = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    both = pieces.decode(coded, model, out="decoded")
+    return both.select(
+        "doc_id", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), keep_ids=False).drop("ids")
@@ -44,7 +67,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_substring_dedup, op3_quality, op7_packing, op9_simhash)
+    f.__name__: f for f in (
+        op1_substring_dedup, op3_quality, op4_token_counts, op5_licenses, op6_pieces, op7_packing, op9_simhash,
+    )
 }
 # Lines are cut at \n, forms are lower case with single spaces, ranks are (doc_id, offset).
 ORACLE = {
@@ -71,4 +96,5 @@ WITH parts AS (
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, coalesce(removed, '[]') AS removed
 FROM documents d LEFT JOIN kept USING (doc_id)
 """,
+    "op5_licenses": licenses.oracle_sql(),
 }
