@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talktable.llm import licenses, packing, pieces, quality, simhash, substring, tokens
+from talktable.llm import licenses, packing, partitions, pieces, pivots, quality, simhash, substring, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,14 +61,25 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), keep_ids=False).drop("ids")
 
 
+def op8_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pivots.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("_key").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("_key").alias("doc_id"), "fingerprint", "component_id", "kept")
 
 
+def op10_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _table(spark, sf_dir, "embeddings")
+    return partitions.nearest(base, base.where("vec_id % 20 = 0"), k=20)
+
+
 QUERIES = {
     f.__name__: f for f in (
-        op1_substring_dedup, op3_quality, op4_token_counts, op5_licenses, op6_pieces, op7_packing, op9_simhash,
+        op1_substring_dedup, op3_quality, op4_token_counts, op5_licenses, op6_pieces, op7_packing, op8_pivots, op9_simhash,
+        op10_partitions,
     )
 }
 # Lines are cut at \n, forms are lower case with single spaces, ranks are (doc_id, offset).
