@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talktable.llm import licenses, packing, partitions, pieces, pivots, quality, simhash, substring, tokens
+from talktable.llm import licenses, packing, partitions, pieces, pivots, quality, simhash, substring, suffixes, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.drop_repeated_units(docs).select("doc_id", "text", F.to_json("removed").alias("removed"))
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.drop_repeats(_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("_key").alias("doc_id"), "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -78,7 +87,7 @@ def op10_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_substring_dedup, op3_quality, op4_token_counts, op5_licenses, op6_pieces, op7_packing, op8_pivots, op9_simhash,
+        op1_substring_dedup, op2_suffixes, op3_quality, op4_token_counts, op5_licenses, op6_pieces, op7_packing, op8_pivots, op9_simhash,
         op10_partitions,
     )
 }
