@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +57,17 @@ def components(links: DataFrame) -> DataFrame:
             .select("node", F.coalesce("last", "root").alias("root"))
         )
     return roots
+
+
+def smallest_linked(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of ``ids`` the smallest id reached by the links between positions ``i`` and ``j``."""
+    order = np.argsort(ids, kind="stable")
+    low = np.empty(len(ids), np.int64)
+    low[order] = np.arange(len(ids))
+    while True:
+        before = low.copy()
+        np.minimum.at(low, i, before[j])
+        np.minimum.at(low, j, before[i])
+        low = np.minimum(low, low[order[low]])
+        if (low == before).all():
+            return ids[order[low]]

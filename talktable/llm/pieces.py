@@ -82,11 +82,12 @@ class Unigram:
         self.known: dict[str, bytes] = {}
 
     def best(self, unit: str) -> tuple[list[int], float]:
-        """Ids and score of the best segmentation of ``unit``; a character without a piece becomes its bytes.
+        """Ids and score of the best segmentation of ``unit``; a character without a piece becomes its bytes, a
+        marker without one that of a space.
 
         Of equal scores the one whose last piece starts first is taken.
         """
-        data = unit.encode()
+        data, marker = unit.encode(), SPACE.encode()
         n = len(data)
         base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
         best, back = [-math.inf] * (n + 1), [(0, -1)] * (n + 1)
@@ -112,7 +113,7 @@ class Unigram:
         out, at = [], n
         while at:
             start, v = back[at]
-            out += [self.ids[v]] if v >= 0 else [self.byte_ids[b] for b in reversed(data[start:at])]
+            out += [self.ids[v]] if v >= 0 else [self.byte_ids[b] for b in reversed(data[start:at].replace(marker, b" "))]
             at = start
         return out[::-1], best[n]
 

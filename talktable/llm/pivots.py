@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talktable.llm.common import components
+from talktable.llm.common import components, smallest_linked
 from talktable.llm.vectors import BLOCK, matrix, sample, unit, usable
 from talktable.storage import materialize
 
@@ -48,7 +48,7 @@ def _block_links(a: dict, b: dict, pivot: int, lists: int, shared: int, threshol
         np.fill_diagonal(linked, False)
     i, j = np.nonzero(linked)
     counts = np.zeros(len(ids), np.int64)
-    low = np.arange(len(ids))
+    low = ids
     shift = 0 if same else len(a["rep"])
     if len(i):
         # a pair that shares several lists is counted in that of the smallest pivot
@@ -58,19 +58,8 @@ def _block_links(a: dict, b: dict, pivot: int, lists: int, shared: int, threshol
         np.add.at(counts, i[mine], b["n"][j[mine]])
         if not same:
             np.add.at(counts, j[mine] + shift, a["n"][i[mine]])
-        order = np.argsort(ids, kind="stable")
-        rank = np.empty(len(ids), np.int64)
-        rank[order] = np.arange(len(ids))
-        low = rank.copy()
-        while True:
-            before = low.copy()
-            np.minimum.at(low, i, before[j + shift])
-            np.minimum.at(low, j + shift, before[i])
-            low = np.minimum(low, low[order[low]])
-            if (low == before).all():
-                break
-        low = order[low]
-    return ids, counts, ids[low]
+        low = smallest_linked(ids, i, j + shift)
+    return ids, counts, low
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9,

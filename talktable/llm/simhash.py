@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talktable.llm.common import components
+from talktable.llm.common import components, smallest_linked
+from talktable.llm.vectors import BLOCK, matrix
 from talktable.storage import materialize
 
 BITS = 2
@@ -128,10 +131,138 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, cap: int = 256) -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its component, with the columns of ``docs``.
+def agreement(similarity: float) -> float:
+    """Share of SimHash bits in which shingle sets of equal size and this Jaccard similarity agree."""
+    return 1.0 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def layout(n: int, similarity: float, missed: float = 0.01) -> tuple[int, int]:
+    """(bits of a segment, number of segments) for ``n`` texts.
+
+    A segment has about log2(n) bits, so that few unlike texts share one. There are so many segments that texts of this
+    similarity share none with a probability of ``missed``, and 1,536 bits at least.
+    """
+    bits = min(31, max(12, math.ceil(math.log2(max(2, n)))))
+    shared = agreement(similarity) ** bits
+    return bits, max(math.ceil(math.log(missed) / math.log1p(-shared)), math.ceil(1536 / bits))
+
+
+def wide_fingerprint(text: str | None, width: int, bits: int, segments: int) -> np.ndarray:
+    """SimHash of the distinct word shingles as ``segments`` numbers of ``bits`` bits; zeros without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(segments, np.int64)
+    n = max(1, len(words) - width + 1)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array(sorted({digest(b" ".join(words[i:i + width]), 42) for i in range(n)}), np.uint64)
+    lanes = -(-bits * segments // 64)
+    mixes = np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    total = np.zeros(lanes * 64, np.int64)
+    step = max(1, (1 << 20) // (lanes * 8))
+    for at in range(0, len(hashes), step):
+        h = hashes[at:at + step, None] + mixes[None, :]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        total += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    wide = (total[:bits * segments] * 2 > len(hashes)).reshape(segments, bits)
+    return wide @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8,
+                cap: int = 128) -> DataFrame:
+    """(_key, component_id): texts whose shingle sets are similar, by SimHash of as many bits as that needs.
+
+    Two fingerprints link if they differ in no more bits than texts of this Jaccard similarity do, with two
+    standard deviations added; with 1,536 bits that is a similarity of about 0.02 less. The fingerprint is a ring of segments. A pair
+    needs an equal segment to start a chain, and the next segments must stay within their share of the
+    budget and 3.5 standard deviations, before all bits are compared. ``layout`` gives the segments, so that 99
+    of 100 pairs at the threshold have a start, and more of the more similar.
+
+    Equal fingerprints are one node. A segment value that more than ``cap`` nodes have is not joined: its nodes
+    are compared with the one of the smallest id, which links most copies of one text; only the rest is
+    compared with all, block against block, and yields one link per row and block. Null, empty and blank texts
+    are one group. Rows with a null id get no row.
+    """
+    bits, segments = layout(docs.count(), similarity)
+    share = 1 - agreement(similarity)
+    budget = int(share * bits * segments + 2 * math.sqrt(bits * segments * share * (1 - share)))
+    per_long = 63 // bits
+    chain = int(per_long * bits * share + 3.5 * math.sqrt(per_long * bits * share * (1 - share)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                rows = batch.slice(at, 1024)
+                wide = np.concatenate([wide_fingerprint(t.as_py(), width, bits, segments) for t in rows.column("_text")])
+                offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * segments)
+                yield pa.RecordBatch.from_arrays([rows.column("_key"), pa.ListArray.from_arrays(offsets, pa.array(wide))], ["_key", "ring"])
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_key"), F.col(text_col).alias("_text"))
+    printed = materialize(rows.mapInArrow(run, "_key long, ring array<bigint>"))
+    nodes = materialize(printed.groupBy("ring").agg(F.min("_key").alias("node")))
+
+    at = lambda i: F.element_at("ring", F.pmod(i, F.lit(segments)) + 1)
+    ahead = lambda i: reduce(lambda a, b: F.shiftleft(a, bits).bitwiseOR(b), [at(i + k) for k in range(1, per_long + 1)])
+    keyed = nodes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda i: F.struct(at(i).alias("value"), ahead(i).alias("ahead")))))
+    keyed = keyed.select("node", F.col("pos").alias("segment"), "col.value", "col.ahead")
+    sizes = materialize(keyed.groupBy("segment", "value").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"))
+    shared = materialize(keyed.join(sizes, ["segment", "value"]))
+    few = shared.where(F.col("n") <= cap)
+    a = few.select("segment", "value", F.col("node").alias("a"), F.col("ahead").alias("ahead_a"))
+    b = few.select("segment", "value", F.col("node").alias("b"), F.col("ahead").alias("ahead_b"))
+    pairs = a.join(b, ["segment", "value"]).where((F.col("a") < F.col("b")) & (_differing(F.col("ahead_a"), F.col("ahead_b")) <= chain))
+    many = shared.where(F.col("n") > cap)
+    spokes = many.where("node <> hub").select("hub", "node").distinct()
+    ring = lambda name: nodes.select(F.col("node").alias(name), F.col("ring").alias(f"ring_{name}"))
+    apart = F.aggregate(F.zip_with("ring_a", "ring_b", _differing), F.lit(0), lambda n, d: n + d)
+    wanted = pairs.select("a", "b").unionByName(spokes.select(F.col("hub").alias("a"), F.col("node").alias("b"))).distinct()
+    links = materialize(wanted.join(ring("a"), "a").join(ring("b"), "b").where(apart <= budget).select("a", "b"))
+
+    # nodes of frequent values that their hub does not link meet all nodes of the value, in blocks
+    rest = materialize(many.where("node <> hub").join(
+        links.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti"
+    ).select("segment", "value", "node"))
+    counts = rest.groupBy("segment", "value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_left"))
+    widths = materialize(many.groupBy("segment", "value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_right")).join(counts, ["segment", "value"]))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    full = lambda side: side.join(widths, ["segment", "value"]).join(nodes, "node")
+    left = full(rest).select("segment", "value", "node", "ring", own("n_left").alias("l"), every("n_right").alias("r"))
+    right = full(many.select("segment", "value", "node")).select("segment", "value", "node", "ring", own("n_right").alias("r"), every("n_left").alias("l"))
+
+    def compare(block: pa.Table) -> pa.Table:
+        rings, nodes_of, is_left = matrix(block.column("ring")), block.column("node").to_numpy(), block.column("left").to_numpy()
+        x, y = rings[is_left], rings[~is_left]
+        if not len(x) or not len(y):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        ids = np.concatenate([nodes_of[is_left], nodes_of[~is_left]])
+        i, j = [], []
+        for row in range(len(x)):
+            near = np.flatnonzero(np.bitwise_count(x[row] ^ y).sum(axis=1, dtype=np.int64) <= budget)
+            i.append(np.full(len(near), row))
+            j.append(near + len(x))
+        low = smallest_linked(ids, np.concatenate(i), np.concatenate(j))
+        moved = low != ids
+        return pa.table({"a": ids[moved], "b": low[moved]})
+
+    both = left.withColumn("left", F.lit(True)).unionByName(right.withColumn("left", F.lit(False)))
+    star = both.groupBy("segment", "value", "l", "r").applyInArrow(compare, "a long, b long")
+    roots = components(links.unionByName(materialize(star)))
+    classes = nodes.join(roots, "node", "left").select("ring", "node", F.coalesce("root", "node").alias("root"))
+    classes = materialize(classes)
+    least = classes.groupBy("root").agg(F.min("node").alias("component_id"))
+    classes = materialize(classes.join(least, "root").select("ring", "component_id"))
+    return printed.join(classes, "ring").select("_key", "component_id")
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows of ``docs`` whose id is the smallest of its group of near copies, with the columns of ``docs``.
 
     Rows with a null id cannot be named as a representative and stay.
     """
-    gone = materialize(near_duplicates(docs, id_col, text_col, width, cap=cap).where("not kept and _key is not null").select("_key").distinct())
+    found = near_copies(docs, id_col, text_col, width, similarity)
+    gone = materialize(found.where("_key <> component_id").select("_key").distinct())
     return docs.join(gone, docs[id_col] == gone["_key"], "left_anti")
