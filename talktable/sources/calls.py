@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.times import is_agent_label, slug, to_seconds
 
 PHRASES = "array<struct<start:string,end:string,speaker:string,phrase:string>>"
+RECORDING = "horizon_call_s3_url"
 CALLS = (
-    "_id string, agent_name string, horizon_call_s3_url string, duration double, connect_time string, "
+    f"_id string, agent_name string, {RECORDING} string, duration double, connect_time string, "
     f"call_type string, direction string, speaker_json {PHRASES}"
 )
 RUN = (
@@ -18,9 +19,30 @@ RUN = (
 )
 
 
-def read_calls(spark: SparkSession, path: str) -> DataFrame:
-    """Call index from JSON arrays or JSON lines."""
-    return index_calls(spark.read.schema(CALLS).option("multiLine", True).json(path))
+def read_entries(spark: SparkSession, path: str, form: str, recording: str = RECORDING) -> DataFrame:
+    """Entries of call index files with their text in ``broken`` where they are no JSON object.
+
+    ``form`` is ``"lines"``, one entry a line, which Spark splits, or ``"document"``, one array or object a
+    file, which is read whole by one task. It has to be given: lines read as a document end after the first.
+    ``recording`` names the field of the recording's address.
+    """
+    if form not in ("lines", "document"):
+        raise ValueError('form is "lines" or "document"')
+    reader = spark.read.schema(f"{CALLS.replace(RECORDING, f'`{recording}`')}, broken string")
+    entries = reader.option("multiLine", form == "document").option("columnNameOfCorruptRecord", "broken").json(path)
+    return entries.withColumnRenamed(recording, RECORDING)
+
+
+def read_calls(spark: SparkSession, path: str, form: str, recording: str = RECORDING) -> DataFrame:
+    """Call index of JSON files; entries that are broken are left out here and counted by ``broken_entries``."""
+    return index_calls(read_entries(spark, path, form, recording).where(F.col("broken").isNull()).drop("broken"))
+
+
+def broken_entries(spark: SparkSession, path: str, form: str) -> DataFrame:
+    """Files with entries that are no JSON objects, and how many."""
+    # the text column alone cannot be read from the files, so an entry field goes with it
+    read = read_entries(spark, path, form).select(F.input_file_name().alias("file"), "_id", "broken")
+    return read.groupBy("file").agg(F.count("_id").alias("ids"), F.count("broken").alias("broken")).where("broken > 0 and ids >= 0").drop("ids")
 
 
 def parse_calls(raw: DataFrame, column: str = "json") -> DataFrame:
@@ -35,11 +57,11 @@ def index_calls(calls: DataFrame) -> DataFrame:
     name = F.trim("agent_name")
     present = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
     return (
-        calls.where(present("_id") & F.coalesce(name != "", F.lit(False)) & present("horizon_call_s3_url"))
+        calls.where(present("_id") & F.coalesce(name != "", F.lit(False)) & present(RECORDING))
         .where(F.size("speaker_json") > 0)
         .select(
             F.col("_id").alias("call_id"), name.alias("agent_name"), slug(name).alias("agent_slug"),
-            F.col("horizon_call_s3_url").alias("recording"), F.col("duration").alias("duration_s"),
+            F.col(RECORDING).alias("recording"), F.col("duration").alias("duration_s"),
             F.to_timestamp("connect_time").alias("connect_time"), "call_type", "direction",
             agent.alias("n_agent_phrases"), F.size("speaker_json").alias("n_total_phrases"),
             F.col("speaker_json").alias("phrases"),
