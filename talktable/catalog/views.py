@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import number_rows, row_block, scan, sum_before
 from ..operators.vectors import centroids
-from ..storage import spread
 
 # start of the clock of the event table in microseconds; a millisecond of it plays a microsecond
 EPOCH_US = 1704067200000000
@@ -26,11 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def heavy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table about to get much work per row."""
-    return spread(table(spark, sf_dir, name))
-
-
 def turns(spark, sf_dir) -> DataFrame:
     """Diarizer turns: one per event."""
     start = clock()

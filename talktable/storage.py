@@ -31,12 +31,3 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the table has fewer files than there are cores.
-
-    For work that is heavy per row: a file is read by few tasks, whatever it holds. Tables of many
-    files are left as they are, so nothing large is ever shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
