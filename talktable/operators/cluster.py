@@ -19,7 +19,6 @@ from .intervals import nearest_in_time, number_customers
 from .vectors import centroids, mean_vector, unit_vectors
 
 GROUP_ROWS = 20_000
-STEPS = 25
 
 
 # --- one group inside a task ---------------------------------------------------------------------
@@ -36,12 +35,12 @@ def _start_points(x: np.ndarray, k: int) -> np.ndarray:
     return x[chosen].copy()
 
 
-def kmeans_labels(x: np.ndarray, k: int, steps: int = STEPS) -> np.ndarray:
-    """Lloyd on unit rows in their given order; an emptied cluster keeps its centre."""
+def kmeans_labels(x: np.ndarray, k: int) -> np.ndarray:
+    """Lloyd on unit rows in their given order until no label changes; an emptied cluster keeps its centre."""
     if k <= 1 or len(x) <= k:
         return np.zeros(len(x), dtype=np.int64)
     centres, labels = _start_points(x, k), None
-    for _ in range(steps):
+    while True:
         new = np.argmin((centres**2).sum(axis=1) - 2 * (x @ centres.T), axis=1)
         if labels is not None and (new == labels).all():
             break
@@ -115,7 +114,7 @@ def _assign(unit: DataFrame, centres: DataFrame, by: list[str]) -> DataFrame:
     return unit.join(centres, by).withColumn("cluster", F.array_min(costs)["cluster"]).drop("centres")
 
 
-def _lloyd_across(unit: DataFrame, by: list[str], order: str, k: int, steps: int = STEPS) -> DataFrame:
+def _lloyd_across(unit: DataFrame, by: list[str], order: str, k: int) -> DataFrame:
     v = F.col("embedding")
     mean = materialize(unit.groupBy(*by).agg(mean_vector(v).alias("__mean")))
     pick = F.min_by("embedding", F.struct("__like", order))
@@ -130,7 +129,7 @@ def _lloyd_across(unit: DataFrame, by: list[str], order: str, k: int, steps: int
             far.withColumn("cluster", F.lit(c).cast("bigint"))
         )
         centres = _centre_table(grown, by)
-    for _ in range(steps):
+    while True:
         means = _assign(unit, centres, by).groupBy(*by, "cluster").agg(mean_vector(v).alias("__new"))
         old = centres.select(*by, F.explode("centres").alias("c")).select(*by, "c.*")
         moved = old.join(means, [*by, "cluster"], "left").select(
