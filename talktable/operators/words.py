@@ -30,24 +30,32 @@ def word_distance(ref: list[str], hyp: list[str]) -> int:
     return distance
 
 
-@F.pandas_udf(T.LongType())
-def _distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    return pd.Series([word_distance(r.split(), h.split()) for r, h in zip(ref, hyp)], dtype="int64")
+_ERRORS = T.StructType([T.StructField(name, T.LongType()) for name in ("edits", "ref_words", "hyp_words")])
+
+
+@F.pandas_udf(_ERRORS)
+def _distance(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    pairs = [(r.split(), h.split()) for r, h in zip(ref, hyp)]
+    return pd.DataFrame(
+        [(word_distance(r, h), len(r), len(h)) for r, h in pairs],
+        columns=_ERRORS.names, dtype="int64",
+    )
 
 
 def word_errors(ref: Column, hyp: Column) -> Column:
-    """Word edits between two texts of space-separated words; whole texts, any vocabulary."""
+    """Word edits between two texts and the words of both; whole texts, words are parted by any white space."""
     return _distance(F.coalesce(ref, F.lit("")), F.coalesce(hyp, F.lit("")))
 
 
 def with_wer(pairs: DataFrame, ref: str, hyp: str, name: str = "wer") -> DataFrame:
     """Edits per reference word; an empty reference gives 1 if the hypothesis has words, else 0."""
-    count = lambda c: F.when(F.trim(F.col(c)) == "", 0).otherwise(F.size(F.split(F.trim(F.col(c)), " +")))
-    n, m = count(ref), count(hyp)
-    rate = F.when(n == 0, F.when(m > 0, 1.0).otherwise(0.0)).otherwise(
-        word_errors(F.col(ref), F.col(hyp)) / n
+    e = lambda part: F.col("__errors")[part]
+    rate = F.when(e("ref_words") == 0, F.when(e("hyp_words") > 0, 1.0).otherwise(0.0)).otherwise(
+        e("edits") / e("ref_words")
     )
-    return pairs.withColumn(name, F.round(rate, 6))
+    return pairs.withColumn("__errors", word_errors(F.col(ref), F.col(hyp))).withColumn(
+        name, F.round(rate, 6)
+    ).drop("__errors")
 
 
 def spoken_text(turns: DataFrame, by: list[str], text: Column, order: str) -> DataFrame:
@@ -84,38 +92,48 @@ def shared_words(a: Column, b: Column) -> Column:
     return F.array_intersect(a, b)
 
 
-def best_content_match(ref: DataFrame, hyp: DataFrame, words: Column) -> DataFrame:
-    """Each reference turn with the hypothesis turn sharing most distinct words, if any does.
+def content_matches(ref: DataFrame, hyp: DataFrame, words: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """Reference turns that share words with a turn of the same call, with the best one.
 
-    Both sides have ``call_id, turn_idx, speaker`` and the columns ``words`` is built from. Turns
-    meet only through words they share, never as all pairs; among equals the first turn wins.
+    ``by`` names columns of ``hyp``, such as the system: each of their values is matched apart. Empty words
+    are not shared.
     """
-    def exploded(turns, tag):
+    def exploded(turns, tag, *more):
         return turns.select(
-            "call_id", F.col("turn_idx").alias(f"{tag}_idx"), F.col("speaker").alias(f"{tag}_speaker"),
-            F.explode(F.array_distinct(words)).alias("word"),
+            *more, "call_id", F.col("turn_idx").alias(f"{tag}_idx"), F.col("speaker").alias(f"{tag}_speaker"),
+            F.explode(F.filter(F.array_distinct(words), lambda w: w != "")).alias("word"),
         )
 
     shared = (
-        exploded(ref, "ref").join(exploded(hyp, "hyp"), ["call_id", "word"])
-        .groupBy("call_id", "ref_idx", "ref_speaker", "hyp_idx", "hyp_speaker")
+        exploded(ref, "ref").join(exploded(hyp, "hyp", *by), ["call_id", "word"])
+        .groupBy(*by, "call_id", "ref_idx", "ref_speaker", "hyp_idx", "hyp_speaker")
         .agg(F.count("*").alias("shared"))
     )
     rank = F.struct(F.col("shared"), -F.col("hyp_idx"))
-    best = shared.groupBy("call_id", "ref_idx").agg(
+    return shared.groupBy(*by, "call_id", "ref_idx", "ref_speaker").agg(
         F.max_by("hyp_idx", rank).alias("hyp_idx"),
         F.max_by("hyp_speaker", rank).alias("hyp_speaker"),
         F.max("shared").alias("shared"),
     )
+
+
+def best_content_match(ref: DataFrame, hyp: DataFrame, words: Column) -> DataFrame:
+    """Each reference turn with the hypothesis turn sharing most distinct words, if any does.
+
+    Both sides have ``call_id, turn_idx, speaker`` and the columns ``words`` is built from. Turns
+    meet only through words they share, never as all pairs; among equals the first turn wins.
+    """
+    best = content_matches(ref, hyp, words).drop("ref_speaker")
     turns = ref.select("call_id", F.col("turn_idx").alias("ref_idx"), F.col("speaker").alias("ref_speaker"))
     return turns.join(best, ["call_id", "ref_idx"], "left")
 
 
-def speaker_agreement(matches: DataFrame, first: str = "A", second: str = "B") -> DataFrame:
+def speaker_agreement(matches: DataFrame, first: str = "A", second: str = "B",
+                      by: tuple[str, ...] = ("call_id",)) -> DataFrame:
     """Turns per call with the right speaker, taking the better of direct and swapped labels."""
     h = F.col("hyp_speaker")
     swapped = F.when(h == first, second).when(h.isNotNull(), first)
     hits = lambda label: F.sum(F.coalesce((label == F.col("ref_speaker")).cast("bigint"), F.lit(0)))
-    return matches.groupBy("call_id").agg(
+    return matches.groupBy(*by).agg(
         F.count("*").alias("turns"), hits(h).alias("direct"), hits(swapped).alias("swapped")
     ).withColumn("correct", F.greatest("direct", "swapped"))

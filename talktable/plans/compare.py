@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_punct
 from ..operators.evaluate import model_ranking
 from ..operators.intervals import speaker_flips
-from ..operators.words import best_content_match, speaker_agreement, spoken_text, with_wer
+from ..operators.words import content_matches, speaker_agreement, spoken_text, with_wer
 
 
 def compare_transcripts(ref: DataFrame, systems: DataFrame) -> DataFrame:
@@ -33,16 +33,10 @@ def compare_transcripts(ref: DataFrame, systems: DataFrame) -> DataFrame:
     flips = speaker_flips(systems, ["system", "call_id"]).groupBy("system").agg(
         F.sum("n_turns").alias("turns"), F.sum("flips").alias("flips")
     )
-    # systems share turn numbers, so they are matched as separate calls
-    keyed = lambda t, s: t.withColumn("call_id", F.struct(s.alias("system"), F.col("call_id").alias("call")))
-    names = systems.select("system").distinct()
-    matched = best_content_match(
-        keyed(ref.join(names, how="cross"), F.col("system")).drop("system"),
-        keyed(systems, F.col("system")).drop("system"),
-        F.split(text, " "),
-    )
-    right = speaker_agreement(matched).groupBy(F.col("call_id.system").alias("system")).agg(
+    # turns without a match have no right speaker, so only matched ones are needed
+    matched = content_matches(ref, systems, F.split(text, " "), by=("system",))
+    right = speaker_agreement(matched, by=("system", "call_id")).groupBy("system").agg(
         F.sum("correct").alias("right_speaker")
     )
-    joined = rates.join(flips, "system").join(right, "system").withColumnRenamed("system", "model")
-    return model_ranking(joined)
+    joined = rates.join(flips, "system").join(right, "system", "left").fillna(0, ["right_speaker"])
+    return model_ranking(joined.withColumnRenamed("system", "model"))
