@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..storage import materialize
+
 REGISTRY_BYTES = 64 << 20
 CHUNK_PRINTS = 2048
+#: products held at once in a worker
+TILE_BYTES = 64 << 20
 SALT_ROWS = 50_000
 
 _SCORES = T.ArrayType(
@@ -41,7 +45,11 @@ class PackedRegistry:
         _, starts, prints = self.by_dim[dim]
         lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
         unit = matrix / np.where(lengths > 0, lengths, 1.0)
-        return np.maximum.reduceat(unit @ prints.T, starts, axis=1)
+        tile = max(1, TILE_BYTES // (8 * len(prints)))
+        parts = [
+            np.maximum.reduceat(unit[at:at + tile] @ prints.T, starts, axis=1) for at in range(0, len(unit), tile)
+        ]
+        return np.concatenate(parts) if parts else np.zeros((0, len(starts)))
 
 
 def _score_batch(registry: PackedRegistry, column, best_only: bool) -> pa.ListArray:
@@ -162,7 +170,7 @@ def score_vectors(
     in chunks. ``best_only`` keeps just the best entry (per chunk for large registries; use
     :func:`best_match`).
     """
-    sized = registry.select("agent_slug", "embedding").where(F.col("embedding").isNotNull())
+    sized = materialize(registry.select("agent_slug", "embedding").where(F.col("embedding").isNotNull()))
     prints, numbers = sized.agg(
         F.count("*"), F.coalesce(F.sum(F.size("embedding")), F.lit(0))
     ).first()
