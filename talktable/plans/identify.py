@@ -72,6 +72,15 @@ def soft_reclaim(unmatched: DataFrame, settings: Settings = Settings()) -> DataF
     return unmatched.join(centres, ["call_id", "cluster"]).withColumn("reclaimed", found).drop("__centre")
 
 
+def _passes(labelled: DataFrame, block_rows: int | None) -> DataFrame:
+    """All label passes, in windows without ``block_rows``, else in blocks."""
+    cut = (lambda df: df) if block_rows is None else materialize
+    passed = cut(fill_unlabelled(labelled, block_rows=block_rows))
+    passed = cut(smooth_sandwich(passed, block_rows=block_rows))
+    passed = cut(demote_zero_sim(demote_backchannel(passed), block_rows=block_rows))
+    return cut(correct_roles(passed, block_rows=block_rows))
+
+
 def identify_calls(
     segments: DataFrame,
     registry: DataFrame,
@@ -88,8 +97,8 @@ def identify_calls(
     max_outside_sim``. Returns the labelled segments and one row per call.
 
     Stages that more than one later stage needs are written out once. The label passes use plain
-    windows when no call has more than ``window_rows`` segments, which is counted first; with
-    longer calls they run on blocks of ``block_rows`` and are written out between passes.
+    windows for calls of up to ``window_rows`` segments; longer calls run on blocks of
+    ``block_rows`` and are written out between passes. Each call is decided by its own length.
     """
     s = settings
     scored = materialize(
@@ -194,14 +203,14 @@ def identify_calls(
             "hit_sim", F.coalesce("cluster_sim", "hit_sim")
         )
 
-    longest = calls.agg(F.max("n_segments")).first()[0] or 0
-    blocks = None if longest <= window_rows else block_rows
-    cut = (lambda df: df) if blocks is None else materialize
-    passed = labelled.select("call_id", "seg_idx", "start_s", "end_s", "text", "sim", "call_agent", *LABEL)
-    passed = cut(fill_unlabelled(passed, block_rows=blocks))
-    passed = cut(smooth_sandwich(passed, block_rows=blocks))
-    passed = cut(demote_zero_sim(demote_backchannel(passed), block_rows=blocks))
-    passed = cut(correct_roles(passed, block_rows=blocks))
+    labelled = labelled.select("call_id", "seg_idx", "start_s", "end_s", "text", "sim", "call_agent", *LABEL)
+    long = materialize(calls.where(F.col("n_segments") > window_rows).select("call_id"))
+    if long.isEmpty():
+        passed = _passes(labelled, None)
+    else:
+        passed = _passes(labelled.join(long, "call_id", "left_anti"), None).unionByName(
+            _passes(labelled.join(long, "call_id", "left_semi"), block_rows)
+        )
 
     sim = F.coalesce(F.col("hit_sim"), F.lit(0.0))
     warning = F.when(
