@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.matching import REGISTRY_BYTES, best_match
 
@@ -27,10 +30,20 @@ def stream_talk_time(segments: DataFrame, window: str = "10 minutes", late: str
     )
 
 
+def identify_batches(vectors: DataFrame, registry: DataFrame, threshold: float, sink: Callable[[DataFrame, int], None],
+                     registry_bytes: int = REGISTRY_BYTES) -> DataStreamWriter:
+    """Writer of a stream that gives ``sink`` each micro-batch matched, whatever the registry's size.
+
+    A micro-batch is a table, so a large registry meets it in chunks as it meets any other table. ``sink`` gets
+    the batch's number and may get a batch again after a failure.
+    """
+    def match(batch: DataFrame, number: int) -> None:
+        sink(best_match(batch, registry, threshold, registry_bytes=registry_bytes), number)
+
+    return vectors.writeStream.foreachBatch(match)
+
+
 def stream_identify(vectors: DataFrame, registry: DataFrame, threshold: float,
                     registry_bytes: int = REGISTRY_BYTES) -> DataFrame:
-    """Arriving vectors against the static registry, which must fit the broadcast bound."""
-    size = registry.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0] * 8
-    if vectors.isStreaming and size > registry_bytes:
-        raise ValueError("registry too large to send to every executor; match micro-batches with foreachBatch")
+    """Arriving vectors against a static registry that every executor holds; for others see ``identify_batches``."""
     return best_match(vectors, registry, threshold, registry_bytes=registry_bytes)
