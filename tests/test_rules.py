@@ -280,3 +280,80 @@ def test_streams_equal_tables(spark, tmp_path):
         q = plan(source).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"c_{name}")).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert sorted(map(str, spark.table(name).collect())) == sorted(map(str, plan(df).collect()))
+
+
+def test_index_of_lines_and_of_documents(spark, tmp_path):
+    import json
+
+    from talktable.sources.calls import broken_entries, read_calls
+
+    entry = lambda i: {"_id": str(i), "agent_name": "Zoe", "horizon_call_s3_url": "s3://x", "speaker_json": [{"speaker": "Zoe", "phrase": "hi"}]}
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "documents").mkdir()
+    lines = [json.dumps(entry(i)) for i in range(5)]
+    (tmp_path / "lines" / "a.json").write_text("\n".join([*lines[:3], "{broken", *lines[3:]]))
+    (tmp_path / "documents" / "a.json").write_text("[" + ",\n".join(lines) + "]")
+    ids = {str(i) for i in range(5)}
+    for form in ("lines", "documents"):
+        read = read_calls(spark, str(tmp_path / form), form.replace("documents", "document"))
+        assert {r.call_id for r in read.collect()} == ids
+    assert [r.broken for r in broken_entries(spark, str(tmp_path / "lines"), "lines").collect()] == [1]
+    assert broken_entries(spark, str(tmp_path / "documents"), "document").count() == 0
+
+
+def test_blank_turns_share_no_word(spark):
+    from talktable.functions.text import norm_punct
+    from talktable.operators.words import content_matches, with_wer
+
+    turn = "call_id int, turn_idx int, speaker string, text string"
+    ref = spark.createDataFrame([(1, 0, "A", "..."), (1, 1, "A", "good day")], turn)
+    hyp = spark.createDataFrame([(1, 0, "A", "!!"), (1, 1, "B", "day")], turn)
+    words = F.split(norm_punct(F.col("text"), True), " ")
+    assert [(r.ref_idx, r.hyp_idx, r.shared) for r in content_matches(ref, hyp, words).collect()] == [(1, 1, 1)]
+    pair = spark.createDataFrame([("a\nb c", "x")], "ref string, hyp string")
+    assert with_wer(pair, "ref", "hyp").first().wer == 1.0
+
+
+def test_long_registry_meets_micro_batches(spark, tmp_path):
+    from talktable.streaming.talk import identify_batches, stream_identify
+
+    rows = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(20)], "vec_id int, embedding array<float>")
+    rows.write.parquet(str(tmp_path / "in"))
+    reg = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "agent_slug string, embedding array<double>")
+    source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    sink = lambda batch, number: batch.drop("embedding").write.mode("append").parquet(str(tmp_path / "out"))
+    writer = identify_batches(source, reg, 0.5, sink, registry_bytes=1)
+    writer.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    want = stream_identify(rows, reg, 0.5).drop("embedding").collect()
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(str, want))
+
+
+def test_late_rows_vanish_and_a_restart_goes_on(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from talktable.streaming.talk import stream_talk_time
+
+    t0 = datetime(2024, 1, 1)
+    schema = "call_id int, arrived_at timestamp, start_s double, end_s double, identified_speaker string"
+    batch = lambda minutes: spark.createDataFrame([(1, t0 + timedelta(minutes=m), 0.0, 1.0, "AGENT") for m in minutes], schema).coalesce(1)
+    for minutes in ([0, 1, 2], [40], [3, 41], [90], [120]):
+        batch(minutes).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        plan = stream_talk_time(source, window="10 minutes", late="5 minutes")
+        out = plan.writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out"))
+        out.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    found = {(r.window_start - t0).seconds // 60: r.turns for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found[0] == 3 and found[40] == 2
+
+
+def test_tiles_bound_the_product(monkeypatch):
+    import numpy as np
+
+    from talktable.operators import matching
+
+    rng = np.random.default_rng(1)
+    prints = [(f"a{i % 7}", rng.normal(size=16)) for i in range(50)]
+    packed, rows = matching.PackedRegistry(prints), rng.normal(size=(333, 16))
+    whole = packed.similarities(16, rows)
+    monkeypatch.setattr(matching, "TILE_BYTES", 8 * 50 * 10)
+    assert np.allclose(packed.similarities(16, rows), whole)
