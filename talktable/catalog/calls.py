@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, roles
@@ -9,6 +11,7 @@ from ..operators.matching import best_match
 from ..sources import calls as S
 from ..sources import registry as G
 from ..sources import transcripts as X
+from ..storage import checkpoint_root
 from ..streaming.talk import stream_identify, stream_talk_time
 from . import views as W
 from .views import sql
@@ -207,14 +210,22 @@ def _(spark, d):
     return out.select("conv_id", "turn", "speaker", "phrase")
 
 
-@query("transcript_json", sql("""
-    SELECT call_id, seg_idx, speaker, trim(text) AS phrase, nullif(round(CASE WHEN seg_idx = 0 THEN 0 ELSE length(text) / 1000e0 END, 3), 0) AS avg_score,
+# hours, minutes and seconds of a time in milliseconds
+_MILLIS = (
+    "lpad(CAST(CAST(round({s} * 1000) AS BIGINT) // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(round({s} * 1000) AS BIGINT) // 60000 % 60 AS VARCHAR), 2, '0')"
+    " || ':' || lpad(CAST(CAST(round({s} * 1000) AS BIGINT) // 1000 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(CAST(round({s} * 1000) AS BIGINT) % 1000 AS VARCHAR), 3, '0')"
+)
+
+
+@query("transcript_json", sql(f"""
+    SELECT call_id, seg_idx, {_MILLIS.format(s="start_s")} AS start, {_MILLIS.format(s="end_s")} AS "end", speaker, trim(text) AS phrase, nullif(round(CASE WHEN seg_idx = 0 THEN 0 ELSE length(text) / 1000e0 END, 3), 0) AS avg_score,
            CASE identified_speaker WHEN 'AGENT' THEN 'Unknown Agent' WHEN 'CUSTOMER' THEN 'Customer' ELSE identified_speaker END AS display_speaker
-    FROM v_segments""", "v_segments"))
+    FROM (SELECT * REPLACE (round(start_s, 6) AS start_s, round(end_s, 6) AS end_s) FROM v_segments)""", "v_segments"))
 def _(spark, d):
     s = W.segments(spark, d).withColumn("display_speaker", F.lit(None).cast("string")).withColumn("agent_name", F.lit(None).cast("string"))
+    s = s.withColumn("start_s", F.round("start_s", 6)).withColumn("end_s", F.round("end_s", 6))
     s = s.withColumn("confidence", F.when(F.col("seg_idx") == 0, 0.0).otherwise(F.length("text") / 1000.0))
-    return X.transcript_json(s).select("call_id", "seg_idx", "speaker", "phrase", "avg_score", "display_speaker")
+    return X.transcript_json(s).select("call_id", "seg_idx", "start", "end", "speaker", "phrase", "avg_score", "display_speaker")
 
 
 @query("transcript_lines", sql("""
@@ -286,6 +297,16 @@ def _(spark, d):
     return G.upsert_registry(old, new).groupBy("agent_slug", "source").agg(F.count("*").alias("n"))
 
 
+@query("export_registry", f"""
+    SELECT count(DISTINCT agent_slug) AS agents, count(*) AS voiceprints, 0 AS missing_agents, (SELECT count(*) FROM {_REG}) AS read_again FROM {_REG}""")
+def _(spark, d):
+    """Written to the shared folder and read from there again."""
+    path = f"{checkpoint_root(spark)}/talktable/{uuid.uuid4().hex}"
+    manifest = G.export_registry(_agents(spark, d), _prints(spark, d), path)
+    again = G.import_registry(spark, path).agg(F.count("*").alias("read_again"))
+    return manifest.drop("dims").join(again, how="cross")
+
+
 @query("trained_ids", """
     SELECT DISTINCT CAST(f AS VARCHAR) AS call_id FROM (SELECT min(vec_id) AS f FROM embeddings GROUP BY label)""")
 def _(spark, d):
@@ -319,7 +340,8 @@ def _(spark, d):
     return evaluate.dedupe_calls(rows)
 
 
-@query("sample_calls")
+@query("sample_calls", sql("""
+    SELECT call_id, agent_slug FROM v_calls ORDER BY md5(CAST(call_id AS VARCHAR)), call_id LIMIT 10""", "v_calls"))
 def _(spark, d):
     return evaluate.sample_calls(W.calls(spark, d), 10).select("call_id", "agent_slug")
 

@@ -103,9 +103,18 @@ def _(spark, d):
           SELECT n.call_id, n.seg_idx, CASE WHEN n.end_s - n.start_s <= 20 AND n.nxt = f.display THEN f.role ELSE n.role END,
                  CASE WHEN n.end_s - n.start_s <= 20 AND n.nxt = f.display THEN f.display ELSE n.display END
           FROM f JOIN n ON n.call_id = f.call_id AND n.seg_idx = f.seg_idx + 1)
-    SELECT * FROM f""", "v_segments", "v_best"))
+,
+    m AS (SELECT f.*, l.sim, l.end_s - l.start_s AS len, lead(f.display) OVER w AS nxt, lag(l.sim) OVER w AS psim, lead(l.sim) OVER w AS nsim
+          FROM f JOIN v_lab l USING (call_id, seg_idx) WINDOW w AS (PARTITION BY call_id ORDER BY seg_idx)),
+    g AS (SELECT call_id, seg_idx, role, display FROM m WHERE seg_idx = 0
+          UNION ALL
+          SELECT call_id, seg_idx, CASE WHEN hit THEN grole ELSE role END, CASE WHEN hit THEN gdisplay ELSE display END
+          FROM (SELECT m.*, g.role AS grole, g.display AS gdisplay,
+                       m.len <= 40 AND m.sim < 0.3e0 AND m.nxt = g.display AND greatest(m.psim, m.nsim) >= 0.2e0 AS hit
+                FROM g JOIN m ON m.call_id = g.call_id AND m.seg_idx = g.seg_idx + 1))
+    SELECT * FROM g""", "v_segments", "v_best"))
 def _(spark, d):
-    return _out(passes.smooth_sandwich(_labelled(spark, d), tight_s=20.0, loose_s=0.0))
+    return _out(passes.smooth_sandwich(_labelled(spark, d), tight_s=20.0, loose_s=40.0, strong=0.20))
 
 
 @query("demote_backchannel", sql("""
@@ -113,9 +122,15 @@ def _(spark, d):
     SELECT call_id, seg_idx, CASE WHEN x THEN 'CUSTOMER' ELSE role END AS role, CASE WHEN x THEN 'Customer 1' ELSE display END AS display
     FROM (SELECT *, role = 'AGENT' AND sim < 0.3e0 AND end_s - start_s <= 4 AND len(w) BETWEEN 1 AND 15 AND
             w[1] IN ('yeah', 'yes', 'yep', 'yup', 'ok', 'okay', 'right', 'sure', 'alright', 'uhuh', 'mhm', 'mm', 'mhmm', 'kay') AS x
-          FROM (SELECT *, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM v_lab))""", "v_segments", "v_best"))
+          FROM (SELECT *, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM (
+            SELECT * REPLACE (CASE WHEN seg_idx % 3 = 1 THEN 'Yeah, ' || string_split(text, ' ')[1] ELSE text END AS text,
+                              CASE WHEN seg_idx % 3 = 1 THEN start_s + 3 ELSE end_s END AS end_s) FROM v_lab)))""", "v_segments", "v_best"))
 def _(spark, d):
-    return _out(passes.demote_backchannel(_labelled(spark, d)))
+    """Every third turn is a short answer."""
+    rows, short = _labelled(spark, d), F.col("seg_idx") % 3 == 1
+    first = F.concat(F.lit("Yeah, "), F.get(F.split("text", " "), F.lit(0)))
+    rows = rows.withColumn("text", F.when(short, first).otherwise(F.col("text")))
+    return _out(passes.demote_backchannel(rows.withColumn("end_s", F.when(short, F.col("start_s") + 3).otherwise(F.col("end_s")))))
 
 
 @query("demote_zero_sim", sql("""
@@ -293,6 +308,7 @@ def _(spark, d):
     frames = v.select("call_id", F.col("seg_idx").alias("frame_idx"), F.abs(F.get("embedding", F.lit(0))).cast("double").alias("rms"))
     windows = v.select("call_id", F.col("seg_idx").alias("win_idx"), "embedding")
     out = desk.desk_report(frames, windows, W.registry(spark, d), 0.1, frame_s=1.0, window_s=2.0, step_s=1.0)
+    # scores are means of rounded similarities: ties at the third digit round differently in the SQL
     return out.drop("score")
 
 

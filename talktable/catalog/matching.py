@@ -30,13 +30,10 @@ CUT = 0.15
 
 
 @query("l2_normalize", sql("""
-    SELECT vec_id, round(list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding)))[1], 6) AS first,
-           round(list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding)))[-1], 6) AS last,
-           len(embedding) AS dim FROM v_vectors""", "v_vectors"))
+    SELECT vec_id, unnest(range(len(embedding))) AS at, round(unnest(embedding) / sqrt(list_dot_product(embedding, embedding)), 6) AS value FROM v_vectors""", "v_vectors"))
 def _(spark, d):
     u = W.vectors(spark, d).withColumn("u", l2_normalize(F.col("embedding")))
-    return u.select("vec_id", R6(F.get("u", F.lit(0))).alias("first"), R6(F.element_at("u", -1)).alias("last"),
-                    F.size("u").cast("bigint").alias("dim"))
+    return u.select("vec_id", F.posexplode("u").alias("at", "value")).select("vec_id", F.col("at").cast("bigint").alias("at"), R6("value").alias("value"))
 
 
 @query("cosine", sql("""

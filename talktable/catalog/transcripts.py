@@ -144,10 +144,14 @@ def _(spark, d):
     SELECT call_id, line_idx, n IN ('okay okay', 'okay perfect', 'perfect', 'cheers', 'thank you', 'what are your plans') AS agent_phrase,
            replace(n, 'bye bye', 'bye-bye') IN ('bye', 'bye-bye', 'goodbye') AS farewell,
            len(w) <= 15 AND coalesce(w[1], '') IN ({_list(BACKCHANNEL_STARTS)}) AS backchannel
-    FROM (SELECT *, array_to_string(w, ' ') AS n FROM (SELECT *, {_TOKENS.format(t='line')} AS w FROM v_lines))""", "v_lines"))
+    FROM (SELECT *, array_to_string(w, ' ') AS n FROM (SELECT *, {_TOKENS.format(t='line')} AS w FROM (
+      SELECT * REPLACE (CASE line_idx % 5 WHEN 0 THEN 'Okay, perfect!' WHEN 1 THEN 'Bye bye.' WHEN 2 THEN 'Yeah, ' || substr(line, 1, 20) ELSE line END AS line) FROM v_lines)))""", "v_lines"))
 def _(spark, d):
-    t = F.col("line")
-    return W.lines(spark, d).select("call_id", "line_idx", T.agent_phrase(t).alias("agent_phrase"), T.farewell(t).alias("farewell"),
+    """Three of five lines are, or open with, a phrase of the rules."""
+    at, t = F.col("line_idx") % 5, F.col("line")
+    lines = W.lines(spark, d).withColumn("line", F.when(at == 0, "Okay, perfect!").when(at == 1, "Bye bye.").when(
+        at == 2, F.concat(F.lit("Yeah, "), F.substring(t, 1, 20))).otherwise(t))
+    return lines.select("call_id", "line_idx", T.agent_phrase(t).alias("agent_phrase"), T.farewell(t).alias("farewell"),
                                     T.backchannel_start(t).alias("backchannel"))
 
 
@@ -238,13 +242,15 @@ def _(spark, d):
         "conv_id", "turn", F.size(words.shared_words(T.norm_words(F.col("text")), F.col("b"))).cast("bigint").alias("shared"))
 
 
-@query("wer")
+# without some of its words a text is as many edits away as words are gone
+@query("wer", r"""
+    WITH t AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM documents)
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 ELSE round(CAST(len(list_filter(w, lambda x: x IN ('the', 'of', 'die', 'und', 'la', 'que'))) AS DOUBLE) / len(w), 6) END AS wer FROM t""")
 def _(spark, d):
     """Whole documents against themselves without some of their most frequent words."""
-    t = F.col("text")
-    docs = W.table(spark, d, "documents").select(
-        "doc_id", T.norm_punct(t, True).alias("ref"),
-        T.norm_punct(F.regexp_replace(t, r"\b(the|of|die|und|la|que)\b", ""), True).alias("hyp"))
+    ref = T.norm_punct(F.col("text"), True)
+    left = F.filter(F.split(ref, " "), lambda w: ~w.isin("the", "of", "die", "und", "la", "que"))
+    docs = W.table(spark, d, "documents").select("doc_id", ref.alias("ref"), F.array_join(left, " ").alias("hyp"))
     return words.with_wer(docs, "ref", "hyp").select("doc_id", "wer")
 
 

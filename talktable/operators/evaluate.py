@@ -205,8 +205,8 @@ def trained_ids(registry: DataFrame) -> DataFrame:
 
 
 def sample_calls(calls: DataFrame, n: int) -> DataFrame:
-    """Reproducible sample: the n smallest hashes of the id."""
-    return calls.orderBy(F.xxhash64("call_id"), "call_id").limit(n)
+    """Reproducible sample: the n smallest MD5 digests of the id."""
+    return calls.orderBy(F.md5(F.col("call_id").cast("string")), "call_id").limit(n)
 
 
 def purity_audit(phrases: DataFrame) -> DataFrame:
