@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from talktable.llm.vectors import BLOCK, matrix, sample, usable
 from talktable.storage import materialize
 
+#: rows of the table in one block; a query returns ``k`` rows from each block it meets, so blocks are large
+ROWS = 8 * BLOCK
 HITS = "query_id long, vec_id long, score double"
 
 
@@ -150,7 +152,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     The router is fitted on the ``sampled`` rows of smallest hashed id (see ``fit``); ``parts`` defaults to an
     eighth of the square root of the number of rows, at least 16 and at most 1,024. Every row of ``base`` is
     indexed in the part the classifier gives it most; a query goes to its ``probes`` most probable parts and
-    is compared with all their rows, block against block of 1,024: a large part is many small tasks. Each
+    is compared with all their rows, 1,024 queries against blocks of 8,192: a large part is many small tasks. Each
     block returns ``k`` rows a query at most.
 
     Scores are sums in double precision of the vectors as they are; the first rank is 1, ties go to the
@@ -177,9 +179,9 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     ddl = "_key long, vector array<double>, parts array<int>"
     homes = materialize(table.mapInArrow(route(1), ddl).select("_key", "vector", F.col("parts")[0].alias("part")))
     visits = materialize(asked.mapInArrow(route(router.probes), ddl).select("_key", "vector", F.explode("parts").alias("part")))
-    blocks = lambda rows, name: rows.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    blocks = lambda rows, size, name: rows.groupBy("part").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
     # one row per part
-    sizes = F.broadcast(blocks(homes, "n_base").join(blocks(visits, "n_query"), "part"))
+    sizes = F.broadcast(blocks(homes, ROWS, "n_base").join(blocks(visits, BLOCK, "n_query"), "part"))
     own = lambda n: F.pmod(F.xxhash64("_key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = homes.join(sizes, "part").select("_key", "vector", "part", own("n_base").alias("b"), every("n_query").alias("q"))

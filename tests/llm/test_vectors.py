@@ -61,6 +61,7 @@ def test_pivot_index_odd_rows(spark):
 @pytest.mark.parametrize("block", [16, 1024])
 def test_learned_partitions(spark, monkeypatch, block):
     monkeypatch.setattr(partitions, "BLOCK", block)
+    monkeypatch.setattr(partitions, "ROWS", 2 * block)
     rng = np.random.default_rng(2)
     rows = grouped(rng, 30, 40, 0.4, dim=16) + [(5000 + i, [1.0] * 16) for i in range(40)]
     base = spark.createDataFrame(rows, VECTORS).repartition(3)
