@@ -112,6 +112,13 @@ def _ticks(spark, d):
     return truth.join(ours, ["call_id", "tick"])
 
 
+def _sides(spark, d):
+    truth = W.turns(spark, d).select("call_id", F.col("turn_idx").alias("idx"), "start_s", "end_s", F.col("is_agent").alias("truth"))
+    ours = W.system(spark, d).select(
+        "call_id", F.col("seg_idx").alias("idx"), "start_s", "end_s", (F.col("identified_speaker") == "AGENT").alias("ours"))
+    return truth, ours
+
+
 @query("label_at_tick", sql(f"""
     WITH {_TICKS} SELECT call_id, tick, truth, ours FROM ticks_t JOIN ticks_s USING (call_id, tick)""", "v_system"))
 def _(spark, d):
@@ -125,9 +132,9 @@ def _(spark, d):
            round(100.0 * coalesce(avg(CAST(NOT ours AS INT)) FILTER (WHERE NOT truth), 0), 4) AS customer_pct
     FROM ticks_t JOIN ticks_s USING (call_id, tick) GROUP BY call_id""", "v_system"))
 def _(spark, d):
-    from ..operators.ticks import tick_accuracy
+    from ..operators.ticks import interval_accuracy
 
-    return tick_accuracy(_ticks(spark, d))
+    return interval_accuracy(*_sides(spark, d))
 
 
 @query("tick_accuracy_macro", sql(f"""
@@ -136,9 +143,9 @@ def _(spark, d):
     FROM ticks_t JOIN ticks_s USING (call_id, tick) GROUP BY call_id)
     SELECT count(*) AS calls, round(100 * avg(o), 3) AS overall_pct, round(100 * avg(a), 3) AS agent_pct, round(100 * avg(cu), 3) AS customer_pct FROM c""", "v_system"))
 def _(spark, d):
-    from ..operators.ticks import macro_accuracy, tick_accuracy
+    from ..operators.ticks import interval_accuracy, macro_accuracy
 
-    return macro_accuracy(tick_accuracy(_ticks(spark, d), 9), 3)
+    return macro_accuracy(interval_accuracy(*_sides(spark, d), digits=9), 3)
 
 
 @query("label_at_mid", sql("""

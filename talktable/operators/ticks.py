@@ -2,20 +2,92 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import labels_at_ticks
+from .ordered import before, following, max_before, scan
+
+#: ticks of one block of a call's running values
+BLOCK_TICKS = 600.0
+
+
+def tick_accuracy(ticks: DataFrame, digits: int = 4, weight: Column | None = None) -> DataFrame:
+    """Percent of right ticks per call, overall and by true role (``truth``, ``ours``: is agent).
+
+    A row is one tick, or ``weight`` of them.
+    """
+    n = F.lit(1).cast("bigint") if weight is None else weight
+    right = F.when(F.col("truth") == F.col("ours"), n).otherwise(0)
+
+    def pct(part: Column) -> Column:
+        share = F.sum(F.when(part, right)).cast("double") / F.sum(F.when(part, n))
+        return F.round(100 * F.coalesce(share, F.lit(0.0)), digits)
 
-def tick_accuracy(ticks: DataFrame, digits: int = 4) -> DataFrame:
-    """Percent of right ticks per call, overall and by true role (``truth``, ``ours``: is agent)."""
-    right = (F.col("truth") == F.col("ours")).cast("double")
-    pct = lambda c: F.round(100 * F.coalesce(F.avg(c), F.lit(0.0)), digits)
     return ticks.groupBy("call_id").agg(
-        F.count("*").alias("ticks"),
-        pct(right).alias("overall_pct"),
-        pct(F.when(F.col("truth"), right)).alias("agent_pct"),
-        pct(F.when(~F.col("truth"), right)).alias("customer_pct"),
+        F.sum(n).alias("ticks"),
+        pct(F.lit(True)).alias("overall_pct"),
+        pct(F.col("truth")).alias("agent_pct"),
+        pct(~F.col("truth")).alias("customer_pct"),
+    )
+
+
+def label_pieces(intervals: DataFrame, label: str, index: str, step: float = 0.5) -> DataFrame:
+    """Disjoint tick ranges (call_id, first, last, label) with the label of the lowest covering index.
+
+    Where a call's indexes rise with its starts, an interval is the lowest one from the end of all earlier ones
+    on, so a running maximum gives its range. Calls in which they do not list their ticks.
+    """
+    rows = intervals.select(
+        "call_id", F.col(index).alias("__i"), F.col(label).alias("label"),
+        F.ceil(F.greatest(F.col("start_s"), F.lit(0.0)) / F.lit(step)).cast("bigint").alias("first"),
+        F.floor(F.col("end_s") / F.lit(step)).cast("bigint").alias("last"),
+    ).where(F.col("last") >= F.col("first"))
+    # equal starts share a block; an index that falls back shows in the order of (first, index)
+    seen = scan(rows, ["call_id"], ["first", "__i"], {"ended": max_before(F.col("last")), "highest": max_before(F.col("__i"))},
+                F.floor(F.col("first") / BLOCK_TICKS).cast("bigint"))
+    mixed = seen.where(F.col("highest") > F.col("__i")).select("call_id").distinct()
+    ranges = seen.withColumn("first", F.greatest("first", F.coalesce(F.col("ended") + 1, F.col("first")))).where(
+        F.col("last") >= F.col("first")
+    ).select("call_id", "first", "last", "label")
+    listed = labels_at_ticks(intervals.join(mixed, "call_id", "left_semi"), label, index, step).select(
+        "call_id", F.col("tick").alias("first"), F.col("tick").alias("last"), F.col(label).alias("label")
+    )
+    return ranges.join(mixed, "call_id", "left_anti").unionByName(listed)
+
+
+def joint_ticks(truth: DataFrame, ours: DataFrame) -> DataFrame:
+    """Ranges in which both sides have a label: call_id, truth, ours and their number of ticks ``n``.
+
+    Both sides are disjoint ranges of booleans. Their ends are put in one order and the label in force on each
+    side is carried along it; no tick becomes a row and no ranges are paired.
+    """
+    def marks(side: DataFrame, name: str) -> DataFrame:
+        other = "ours" if name == "truth" else "truth"
+        return side.select("call_id", F.explode(F.array(
+            F.struct(F.col("first").alias("tick"), F.when(F.col("label"), 2).otherwise(1).alias(name)),
+            F.struct((F.col("last") + 1).alias("tick"), F.lit(0).alias(name)),
+        )).alias("m")).select("call_id", "m.tick", F.col(f"m.{name}").alias(name), F.lit(None).cast("int").alias(other))
+
+    # where one range ends and the next begins, the beginning counts
+    at = marks(truth, "truth").unionByName(marks(ours, "ours")).groupBy("call_id", "tick").agg(
+        F.max("truth").alias("truth"), F.max("ours").alias("ours")
     )
+    carried = scan(at, ["call_id"], ["tick"], {
+        "truth_before": before(F.col("truth")), "ours_before": before(F.col("ours")), "until": following(F.col("tick")),
+    }, F.floor(F.col("tick") / BLOCK_TICKS).cast("bigint"))
+    now = lambda side: F.coalesce(F.col(side), F.col(f"{side}_before"), F.lit(0))
+    return carried.select(
+        "call_id", (now("truth") == 2).alias("truth"), (now("ours") == 2).alias("ours"),
+        (F.col("until") - F.col("tick")).alias("n"),
+        ((now("truth") > 0) & (now("ours") > 0)).alias("both"),
+    ).where("both and n > 0").drop("both")
+
+
+def interval_accuracy(truth: DataFrame, ours: DataFrame, step: float = 0.5, digits: int = 4) -> DataFrame:
+    """``tick_accuracy`` of intervals: ``truth`` with ``truth, idx``, ``ours`` with ``ours, idx``."""
+    joint = joint_ticks(label_pieces(truth, "truth", "idx", step), label_pieces(ours, "ours", "idx", step))
+    return tick_accuracy(joint, digits, F.col("n"))
 
 
 def macro_accuracy(per_call: DataFrame, digits: int = 1) -> DataFrame:

@@ -357,3 +357,21 @@ def test_tiles_bound_the_product(monkeypatch):
     whole = packed.similarities(16, rows)
     monkeypatch.setattr(matching, "TILE_BYTES", 8 * 50 * 10)
     assert np.allclose(packed.similarities(16, rows), whole)
+
+
+def test_tick_ranges_are_the_ticks(spark):
+    import random
+
+    from talktable.operators import ticks
+
+    rng = random.Random(3)
+    for ordered in (True, False):
+        sides = []
+        for name in ("truth", "ours"):
+            rows = [(c, round(rng.uniform(0, 700), 2), round(rng.uniform(0, 40), 2), rng.random() < 0.5) for c in range(3) for _ in range(40)]
+            if ordered:
+                rows.sort(key=lambda r: (r[0], r[1]))
+            sides.append(spark.createDataFrame([(c, i, s, s + n, x) for i, (c, s, n, x) in enumerate(rows)], f"call_id int, idx int, start_s double, end_s double, {name} boolean"))
+        truth, ours = sides
+        listed = intervals.labels_at_ticks(truth, "truth", "idx").join(intervals.labels_at_ticks(ours, "ours", "idx"), ["call_id", "tick"])
+        assert sorted(map(str, ticks.interval_accuracy(truth, ours).collect())) == sorted(map(str, ticks.tick_accuracy(listed).collect()))
