@@ -89,7 +89,26 @@ def _out(df):
     return df.select("call_id", "seg_idx", "role", "display")
 
 
-@query("fill_unlabelled")
+# the SQL walks every conversation row by row and carries the label and end of the last long row
+@query("fill_unlabelled", sql("""
+    WITH RECURSIVE """ + _LABELS + """,
+    b AS (SELECT l.call_id, l.seg_idx, l.start_s, l.end_s, l.role, CASE WHEN x.best_sim < 0.15e0 THEN NULL ELSE l.display END AS display
+          FROM v_lab l LEFT JOIN v_best x USING (call_id, seg_idx)),
+    n AS (SELECT *, first_value(CASE WHEN display IS NOT NULL AND end_s - start_s >= 1 THEN {'d': display, 'r': role, 's': start_s} END IGNORE NULLS)
+                      OVER (PARTITION BY call_id ORDER BY seg_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM b),
+    f AS (SELECT DISTINCT call_id, CAST(-1 AS BIGINT) AS seg_idx, CAST(NULL AS VARCHAR) AS role, CAST(NULL AS VARCHAR) AS display,
+                 CAST(NULL AS VARCHAR) AS lr, CAST(NULL AS VARCHAR) AS ld, CAST(NULL AS DOUBLE) AS le FROM n
+          UNION ALL
+          SELECT call_id, seg_idx, (o).r, (o).d, CASE WHEN keep THEN (o).r ELSE lr END, CASE WHEN keep THEN (o).d ELSE ld END, CASE WHEN keep THEN end_s ELSE le END
+          FROM (SELECT *, end_s - start_s >= 1 AND (display IS NOT NULL OR ld IS NOT NULL OR nx IS NOT NULL) AS keep FROM (
+            SELECT n.call_id, n.seg_idx, n.end_s, n.start_s, n.display, n.nx, f.lr, f.ld, f.le,
+                   CASE WHEN n.display IS NOT NULL THEN {'r': n.role, 'd': n.display}
+                        WHEN f.ld IS NULL AND n.nx IS NULL THEN {'r': 'CUSTOMER', 'd': 'Unknown'}
+                        WHEN f.ld IS NULL THEN {'r': (n.nx).r, 'd': (n.nx).d}
+                        WHEN n.nx IS NULL OR f.ld = (n.nx).d OR n.start_s - f.le <= (n.nx).s - n.end_s THEN {'r': f.lr, 'd': f.ld}
+                        ELSE {'r': (n.nx).r, 'd': (n.nx).d} END AS o
+            FROM f JOIN n ON n.call_id = f.call_id AND n.seg_idx = f.seg_idx + 1)))
+    SELECT call_id, seg_idx, role, display FROM f WHERE seg_idx >= 0""", "v_segments", "v_best"))
 def _(spark, d):
     return _out(passes.fill_unlabelled(_labelled(spark, d, True)))
 
