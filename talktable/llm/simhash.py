@@ -172,7 +172,7 @@ def wide_fingerprint(text: str | None, width: int, bits: int, segments: int) ->
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8,
-                cap: int = 128) -> DataFrame:
+                cap: int = 8) -> DataFrame:
     """(_key, component_id): texts whose shingle sets are similar, by SimHash of as many bits as that needs.
 
     Two fingerprints link if they differ in no more bits than texts of this Jaccard similarity do, with two
