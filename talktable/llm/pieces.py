@@ -9,7 +9,9 @@ from array import array
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from talktable.llm.common import with_column
 
 SPACE = "▁"
 _MODELS: dict = {}
@@ -67,12 +69,15 @@ class DoubleArray:
 class Unigram:
     """Pieces with log scores. ``pieces``: (text, log score or None for pieces never matched, byte or None) by id."""
 
-    def __init__(self, pieces: list[tuple[str, float | None, int | None]], remember: int = 300_000):
+    def __init__(self, pieces: list[tuple[str, float | None, int | None]], remember: int = 800_000):
         self.pieces = pieces
         matched = [i for i, (text, score, _) in enumerate(pieces) if score is not None and text]
         self.trie = DoubleArray([pieces[i][0].encode() for i in matched])
         self.ids = matched
         self.scores = [pieces[i][1] for i in matched]
+        # lists are read faster than arrays; the one of the child's place is added beforehand
+        self.base, self.check = [b + 1 for b in self.trie.base], list(self.trie.check)
+        self.gains = [self.scores[v] if v >= 0 else None for v in self.trie.value]
         self.byte_ids = {b: i for i, (_, _, b) in enumerate(pieces) if b is not None}
         self.unknown = (min(self.scores) if self.scores else 0.0) - 10.0
         self.raw = [b"" if s is None and b is None else bytes([b]) if b is not None else t.replace(SPACE, " ").encode()
@@ -89,32 +94,33 @@ class Unigram:
         """
         data, marker = unit.encode(), SPACE.encode()
         n = len(data)
-        base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
-        best, back = [-math.inf] * (n + 1), [(0, -1)] * (n + 1)
+        base, check, gains, value = self.base, self.check, self.gains, self.trie.value
+        best, start, via = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         i = 0
         while i < n:
             first = data[i]
-            width = 1 if first < 128 else 2 if first < 224 else 3 if first < 240 else 4
+            after = i + (1 if first < 128 else 2 if first < 224 else 3 if first < 240 else 4)
             here, s, j, whole = best[i], 0, i, False
-            while j < n:
-                t = base[s] + data[j] + 1
+            for c in data[i:]:
+                t = base[s] + c
                 if check[t] != s:
                     break
-                s, j = t, j + 1
-                v = value[s]
-                if v >= 0:
-                    whole = whole or j == i + width
-                    if here + scores[v] > best[j]:
-                        best[j], back[j] = here + scores[v], (i, v)
-            if not whole and here + self.unknown > best[i + width]:
-                best[i + width], back[i + width] = here + self.unknown, (i, -1)
-            i += width
+                s = t
+                j += 1
+                gain = gains[t]
+                if gain is not None:
+                    whole = whole or j == after
+                    if here + gain > best[j]:
+                        best[j], start[j], via[j] = here + gain, i, t
+            if not whole and here + self.unknown > best[after]:
+                best[after], start[after], via[after] = here + self.unknown, i, -1
+            i = after
         out, at = [], n
         while at:
-            start, v = back[at]
-            out += [self.ids[v]] if v >= 0 else [self.byte_ids[b] for b in reversed(data[start:at].replace(marker, b" "))]
-            at = start
+            i, t = start[at], via[at]
+            out += [self.ids[value[t]]] if t >= 0 else [self.byte_ids[b] for b in reversed(data[i:at].replace(marker, b" "))]
+            at = i
         return out[::-1], best[n]
 
     def _unit(self, unit: str) -> bytes:
@@ -182,23 +188,21 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", out: str =
     """
     pieces = docs.sparkSession.sparkContext.broadcast(read_pieces(model_file))
 
-    @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
         model = _model(pieces.value)
         found = [model.encode(t.as_py() or "") for t in texts]
         offsets = np.concatenate(([0], np.cumsum([len(f) // 4 for f in found]))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
 
-    return docs.withColumn(out, run(F.col(text_col)))
+    return with_column(docs, text_col, out, T.ArrayType(T.IntegerType()), run)
 
 
 def decode(rows: DataFrame, model_file: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
     """``rows`` with ``out``: the text of the ids. Null ids give null, none the empty text; ids must be the model's."""
     pieces = rows.sparkSession.sparkContext.broadcast(read_pieces(model_file))
 
-    @F.arrow_udf("string")
     def run(ids: pa.Array) -> pa.Array:
         model = _model(pieces.value)
         return pa.array([None if i.values is None else model.decode(i.values.to_numpy(zero_copy_only=False).tolist()) for i in ids], pa.string())
 
-    return rows.withColumn(out, run(F.col(ids_col)))
+    return with_column(rows, ids_col, out, T.StringType(), run)
