@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talktable.storage import materialize
 
@@ -22,6 +26,43 @@ def attach(docs: DataFrame, facts: DataFrame, key: str, fill: dict[str, Column]
     return joined.drop("_key")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``materialize``, after which the shuffle files behind the table go at once.
+
+    Otherwise they stay until the driver happens to collect its garbage, and fill the executors' disks in a chain of
+    large shuffles. A later loss of an executor does not need them: the table is in the shared folder.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return materialize(df)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
+
+def with_column(df: DataFrame, source: str, out: str, kind: T.DataType, make: Callable[[pa.Array], pa.Array], rows: int = 1024) -> DataFrame:
+    """``df`` with ``out`` made from ``source`` in Arrow batches of at most ``rows`` rows; a column ``out`` is replaced.
+
+    The other columns go through the Python worker and not, as with a UDF, through a queue on the executor's disk.
+    """
+    kept = [f for f in df.schema.fields if f.name != out]
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                columns = [part.column(part.schema.get_field_index(c)) for c in names]
+                made = make(part.column(part.schema.get_field_index(source)))
+                yield pa.RecordBatch.from_arrays([*columns, made], [*names, out])
+
+    return df.mapInArrow(run, T.StructType([*kept, T.StructField(out, kind)]))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (a, b: long): one row (node, root) per linked node.
 
