@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talktable.storage import materialize
+from talktable.llm.common import written
 
 #: bytes worked on at once by the scan
 CHUNK = 1 << 20
-#: bytes of a shard whose transform is built by sorting, and of the shards that one task merges
-SHARD, TASK = 1 << 17, 1 << 21
+#: bytes of a shard whose transform is built by sorting, of the shards merged at once, and of a task
+SHARD, MERGE, TASK = 1 << 15, 1 << 18, 1 << 21
 #: bytes of distinct stretches with one anchor beyond which they are split by window
 HOT = 1 << 20
 
@@ -119,8 +119,9 @@ def anchored_runs(docs: DataFrame, length: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, _key long, _hash long, start long, starts long, places long")
 
 
-def build_transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of ``text`` in order of their first ``depth`` symbols, and the symbol before each.
+def build_transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes of ``text`` in order of their first ``depth`` symbols, the symbol before each, and the place of
+    the suffix that starts with it (the last-to-first map).
 
     ``text`` holds strings of symbols from 1 on, each closed by 0. The closing symbols differ, in text order.
     """
@@ -142,40 +143,39 @@ def build_transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
         if rank[order[-1]] == n - 1:
             break
     order = np.argsort(rank, kind="stable")
-    return order, text[order - 1]
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    return order, text[order - 1], place[order - 1]
 
 
-def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of all suffixes of the shards, and which of them share ``depth`` symbols with the one before.
+def merge_transforms(transforms: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the suffixes that share ``depth`` symbols with another, shard after shard numbered, and their group.
 
-    ``transforms[s]`` is the symbol before each suffix of shard s in its order. The interleave, the shard of
-    each suffix in the merged order, starts as shard after shard. In round h the symbols are read off in the
-    order of the interleave and dealt stably by symbol: that is the interleave by h symbols. A place whose
-    symbol or block of the round before differs from its neighbour's starts a block; the round in which it
-    first does is its common prefix plus one. No suffix is sorted again and no text is read.
+    ``transforms[s]`` is the symbol before each suffix of shard s in its order, and its last-to-first map. The
+    interleave says in which order the suffixes of all shards follow each other; it starts as shard after
+    shard. In each round the symbols are read off in that order and dealt stably by symbol: the interleave by one
+    symbol more. A place whose symbol or block of the round before differs from its neighbour's starts a block,
+    and the round in which it first does is its common prefix plus one. A block of one suffix is settled, and so
+    is all that is read off from it, so only blocks of several are carried on. No suffix is sorted again and
+    no text is read.
     """
-    sizes = [len(t) for t in transforms]
-    symbols = np.concatenate(transforms)
-    n, closing = len(symbols), int((symbols == 0).sum())
-    per_shard = np.array([int((t == 0).sum()) for t in transforms])
-    shard_type = np.uint8 if len(sizes) <= 256 else np.uint16
-    shard = np.repeat(np.arange(len(sizes)), sizes).astype(shard_type)
-    ends = np.repeat(np.arange(len(sizes)), per_shard).astype(shard_type)
-    starts = np.zeros(n, bool)
-    starts[0] = True
-    block = np.zeros(n, np.int32)
-    read = np.empty(n, symbols.dtype)
+    starts = np.cumsum([0] + [len(symbols) for symbols, _ in transforms])
+    symbols = np.concatenate([symbols for symbols, _ in transforms])
+    before = np.concatenate([last + start for (_, last), start in zip(transforms, starts)]).astype(np.int32)
+    entries, block = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
     for _ in range(depth):
-        read[np.argsort(shard, kind="stable")] = symbols
-        dealt = np.argsort(read, kind="stable")
-        shard = shard[dealt]
-        shard[:closing] = ends
-        read, was = read[dealt], block[dealt]
-        starts[1:] |= (read[1:] != read[:-1]) | (was[1:] != was[:-1])
-        starts[:closing + 1] = True
-        block = np.cumsum(starts, dtype=np.int32)
-        read = np.empty(n, symbols.dtype)
-    return np.argsort(np.argsort(shard, kind="stable"), kind="stable"), ~starts
+        read = symbols[entries]
+        # what comes before the start of a string is its closing symbol, which no other suffix starts with
+        on = read != 0
+        dealt = np.argsort(read[on], kind="stable")
+        entries, read, block = before[entries[on]][dealt], read[on][dealt], block[on][dealt]
+        new = np.ones(len(entries) + 1, bool)
+        new[1:-1] = (read[1:] != read[:-1]) | (block[1:] != block[:-1])
+        several = ~(new[:-1] & new[1:])
+        entries, block = entries[several], np.cumsum(new[:-1], dtype=np.int32)[several]
+        if not len(entries):
+            break
+    return entries, block
 
 
 def repeated_starts(stretches: list[bytes], length: int, shard_bytes: int = SHARD):
@@ -194,21 +194,32 @@ def repeated_starts(stretches: list[bytes], length: int, shard_bytes: int = SHAR
         lengths = np.array([len(stretches[i]) + 1 for i in rows])
         owner = np.repeat(np.array(rows), lengths)
         offset = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        order, before = build_transform(text, length)
-        transforms.append(before)
+        order, symbols, before = build_transform(text, length)
+        transforms.append((symbols, before))
         owners.append(owner[order])
         offsets.append(offset[order])
-    place, same = merge_transforms(transforms, length)
-    inside = same | np.concatenate([same[1:], [False]])
-    group = np.cumsum(~same)
-    return np.concatenate(owners)[place][inside], np.concatenate(offsets)[place][inside], group[inside]
+    place, group = merge_transforms(transforms, length)
+    return np.concatenate(owners)[place], np.concatenate(offsets)[place], group
 
 
 def _later_spans(table: pa.Table, length: int) -> pa.Table:
     """Spans of strings in the first occurrences of stretches that also start earlier in another or the same one."""
+    table = table.sort_by("anchor")
     stretches = table.column("stretch").to_pylist()
-    keys, hashes, start = (table.column(c).to_numpy() for c in ("_key", "_hash", "start"))
-    row, offset, group = repeated_starts(stretches, length)
+    anchors, keys, hashes, start = (table.column(c).to_numpy() for c in ("anchor", "_key", "_hash", "start"))
+    # stretches of one anchor are merged together, and others as far as there is room
+    sizes = np.cumsum([len(s) + 1 for s in stretches])
+    begins = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+    cuts, filled = [0], 0
+    for a, b in zip(begins, [*begins[1:], len(stretches)]):
+        if sizes[b - 1] - filled > MERGE and a > cuts[-1]:
+            cuts.append(int(a))
+            filled = sizes[a - 1]
+    found = []
+    for a, b in zip(cuts, [*cuts[1:], len(stretches)]):
+        row, offset, group = repeated_starts(stretches[a:b], length)
+        found.append((row + a, offset, group.astype(np.int64) + (a << 32)))
+    row, offset, group = (np.concatenate(c) for c in zip(*found))
     place = start[row] + offset
     order = np.lexsort((place, hashes[row], keys[row], group))
     later = np.concatenate([[False], group[order[1:]] == group[order[:-1]]]) if len(order) else np.zeros(0, bool)
@@ -228,7 +239,7 @@ SPANS = "_key long, _hash long, start long, end long"
 def _not_first(found: DataFrame, text_digest: str, firsts: DataFrame) -> DataFrame:
     """Rows of ``found`` other than the first with their digest; ``firsts``: (digest, first), one row each."""
     here = F.struct("_key", "_hash", "start")
-    return found.join(firsts, text_digest).where(here != F.col("first"))
+    return found.join(firsts.hint("shuffle_hash"), text_digest).where(here != F.col("first"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, k: int = 32) -> DataFrame:
@@ -242,10 +253,10 @@ def repeated_spans(docs: DataFrame, length: int = 100, k: int = 32) -> DataFrame
        An anchor with more than ``HOT`` bytes of them is split by window instead: equal windows meet by digest,
        and the first of them is a minimum.
     """
-    anchors = materialize(
+    anchors = written(
         anchored_runs(docs, length, k).groupBy("anchor").agg(F.sum("places").alias("n")).where("n > 1").select("anchor")
     )
-    again = anchored_runs(docs, length, k).join(anchors, "anchor")
+    again = anchored_runs(docs, length, k).join(anchors.hint("shuffle_hash"), "anchor")
     per_doc = again.groupBy("_key", "_hash").agg(F.collect_set(F.struct("start", "starts", "anchor", "places")).alias("runs"))
     names = ["anchor", "stretch", "_key", "_hash", "start", "places"]
 
@@ -262,11 +273,11 @@ def repeated_spans(docs: DataFrame, length: int = 100, k: int = 32) -> DataFrame
                     schema=schema,
                 )
 
-    stretches = docs.join(per_doc, ["_key", "_hash"]).select("_key", "_hash", "_bytes", "runs").mapInArrow(
+    stretches = docs.join(per_doc.hint("shuffle_hash"), ["_key", "_hash"]).select("_key", "_hash", "_bytes", "runs").mapInArrow(
         cut, "anchor long, stretch binary, _key long, _hash long, start long, places long"
     )
-    stretches = materialize(stretches.withColumn("digest", F.unhex(F.md5("stretch"))))
-    distinct = materialize(
+    stretches = written(stretches.withColumn("digest", F.unhex(F.md5("stretch"))))
+    distinct = written(
         stretches.groupBy("anchor", "digest", "stretch")
         .agg(F.min(F.struct("_key", "_hash", "start")).alias("first"), F.count("*").alias("n"), F.max("places").alias("places"))
     )
@@ -274,7 +285,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, k: int = 32) -> DataFrame
         stretches.select("digest", "_key", "_hash", "start", F.length("stretch").alias("size")), "digest",
         distinct.where("n > 1").select("digest", "first"),
     ).select("_key", "_hash", "start", (F.col("start") + F.col("size")).alias("end"))
-    sizes = materialize(
+    sizes = written(
         distinct.groupBy("anchor").agg(F.count("*").alias("stretches"), F.sum(F.length("stretch")).alias("bytes"), F.max("places").alias("places"))
         .where("stretches > 1 or places > 1").select("anchor", "bytes")
     )
@@ -282,15 +293,15 @@ def repeated_spans(docs: DataFrame, length: int = 100, k: int = 32) -> DataFrame
     total = sizes.where(F.col("bytes") <= HOT).agg(F.sum("bytes")).first()[0] or 0
     tasks = max(1, -(-total // TASK))
     merged = (
-        several.where(F.col("bytes") <= HOT).select("stretch", "_key", "_hash", "start", F.pmod(F.xxhash64("anchor"), F.lit(tasks)).alias("task"))
+        several.where(F.col("bytes") <= HOT).select("anchor", "stretch", "_key", "_hash", "start", F.pmod(F.xxhash64("anchor"), F.lit(tasks)).alias("task"))
         .groupBy("task").applyInArrow(lambda table: _later_spans(table, length), SPANS)
     )
-    windows = materialize(
+    windows = written(
         several.where(F.col("bytes") > HOT)
         .select("stretch", "_key", "_hash", "start", F.explode(F.sequence(F.lit(0), F.length("stretch") - length)).alias("o"))
         .select(F.unhex(F.md5(F.expr(f"substring(stretch, o + 1, {length})"))).alias("window"), "_key", "_hash", (F.col("start") + F.col("o")).alias("start"))
     )
-    earliest = materialize(
+    earliest = written(
         windows.groupBy("window").agg(F.min(F.struct("_key", "_hash", "start")).alias("first"), F.count("*").alias("n"))
         .where("n > 1").select("window", "first")
     )
@@ -322,8 +333,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ).withColumn("_hash", F.xxhash64("_bytes"))
     long = rows.where(F.col("_key").isNotNull() & (F.length("_bytes") >= length))
     spans = repeated_spans(long, length, k).groupBy("_key", "_hash").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    spans = materialize(spans)
-    joined = rows.join(spans, ["_key", "_hash"], "left").select("_key", "_bytes", "_spans")
+    spans = written(spans)
+    joined = rows.join(spans.hint("shuffle_hash"), ["_key", "_hash"], "left").select("_key", "_bytes", "_spans")
     names = ["_key", "n_bytes", "spans", "kept"]
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("_key", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(span)), ("kept", pa.binary())])
