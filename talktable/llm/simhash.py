@@ -1,10 +1,11 @@
-"""Near duplicates by 64-bit SimHash, candidates by pigeonring filtering."""
+"""Near duplicates by 64-bit SimHash, candidates by pigeonring filtering; near copies by shingle sets."""
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +13,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talktable.llm.common import components, smallest_linked
+from talktable.llm.common import components
 from talktable.llm.vectors import BLOCK, matrix
 from talktable.storage import materialize
 
 BITS = 2
+#: places of the parities by which near copies are told apart before their sets are compared
+PARITIES = 2048
 #: (first bit, length) of the three segments on the ring, and of the two halves of each.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 HALVES = (((0, 11), (11, 11)), ((22, 11), (33, 10)), ((43, 11), (54, 10)))
@@ -131,131 +134,152 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found
 
 
-def agreement(similarity: float) -> float:
-    """Share of SimHash bits in which shingle sets of equal size and this Jaccard similarity agree."""
-    return 1.0 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct word shingles of ``text``; none without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    flat = b" ".join(words)
+    ends = list(itertools.accumulate(map(len, words), lambda a, b: a + b + 1))
+    starts = [0, *(e + 1 for e in ends[:-1])]
+    digest = xxhash.xxh64_intdigest
+    hashes = {digest(flat[s:e], 42) for s, e in zip(starts, ends[min(width, len(words)) - 1:])}
+    found = np.fromiter(hashes, np.uint64, len(hashes)).view(np.int64)
+    found.sort()
+    return found
 
 
-def layout(n: int, similarity: float, missed: float = 0.01) -> tuple[int, int]:
-    """(bits of a segment, number of segments) for ``n`` texts.
+def rarest(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The part of a set, in an order all sets share, of which sets of this Jaccard similarity have one in common.
 
-    A segment has about log2(n) bits, so that few unlike texts share one. There are so many segments that texts of this
-    similarity share none with a probability of ``missed``, and 1,536 bits at least.
+    They share at least ``similarity`` of either, so not all of what is left out can be the shared part. Hashes in
+    ``common`` (sorted) come last.
     """
-    bits = min(31, max(12, math.ceil(math.log2(max(2, n)))))
-    shared = agreement(similarity) ** bits
-    return bits, max(math.ceil(math.log(missed) / math.log1p(-shared)), math.ceil(1536 / bits))
+    if not len(hashes):
+        return hashes
+    last = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes if len(common) else np.zeros(len(hashes), bool)
+    n = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    return np.concatenate([hashes[~last], hashes[last]])[:n]
 
 
-def wide_fingerprint(text: str | None, width: int, bits: int, segments: int) -> np.ndarray:
-    """SimHash of the distinct word shingles as ``segments`` numbers of ``bits`` bits; zeros without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(segments, np.int64)
-    n = max(1, len(words) - width + 1)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array(sorted({digest(b" ".join(words[i:i + width]), 42) for i in range(n)}), np.uint64)
-    lanes = -(-bits * segments // 64)
-    mixes = np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    total = np.zeros(lanes * 64, np.int64)
-    step = max(1, (1 << 20) // (lanes * 8))
-    for at in range(0, len(hashes), step):
-        h = hashes[at:at + step, None] + mixes[None, :]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        total += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    wide = (total[:bits * segments] * 2 > len(hashes)).reshape(segments, bits)
-    return wide @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the hashes that fall on each of ``PARITIES`` places; two sets differ in as many elements or more as in places."""
+    odd = np.bincount(hashes.view(np.uint64) % np.uint64(PARITIES), minlength=PARITIES).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
+def _common_shingles(rows: DataFrame, width: int, docs: int = 4000, most: int = 100_000) -> np.ndarray:
+    """Sorted hashes that several rows of a sample have; they only make keys that fewer rows share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("_text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), width))], ["h"])
+
+    drawn = rows.orderBy(F.xxhash64("_key"), "_key").limit(docs).repartition(8)
+    counts = drawn.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    return np.array(sorted(r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(most).collect()), np.int64)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8,
                 cap: int = 8) -> DataFrame:
-    """(_key, component_id): texts whose shingle sets are similar, by SimHash of as many bits as that needs.
+    """(_key, component_id): texts linked by a Jaccard similarity of ``similarity`` or more of their shingle sets.
 
-    Two fingerprints link if they differ in no more bits than texts of this Jaccard similarity do, with two
-    standard deviations added; with 1,536 bits that is a similarity of about 0.02 less. The fingerprint is a ring of segments. A pair
-    needs an equal segment to start a chain, and the next segments must stay within their share of the
-    budget and 3.5 standard deviations, before all bits are compared. ``layout`` gives the segments, so that 99
-    of 100 pairs at the threshold have a start, and more of the more similar.
+    Exact up to equal 64-bit hashes, whatever the size of the table or of the texts. Two such sets have one of their rarest shingles in
+    common (see ``rarest``), and the first of those leaves enough of both sets to reach the similarity. Nor do they differ
+    in more parities than in elements (see ``parities``). What passes is compared by the whole sets. Which shingles count as frequent is learned from a sample and changes no result.
 
-    Equal fingerprints are one node. A segment value that more than ``cap`` nodes have is not joined: its nodes
+    Equal sets are one node. A shingle that more than ``cap`` nodes are met by is not joined: its nodes
     are compared with the one of the smallest id, which links most copies of one text; only the rest is
-    compared with all, block against block, and yields one link per row and block. Null, empty and blank texts
+    compared with all, block against block, by the parities first. Null, empty and blank texts
     are one group. Rows with a null id get no row.
     """
-    bits, segments = layout(docs.count(), similarity)
-    share = 1 - agreement(similarity)
-    budget = int(share * bits * segments + 2 * math.sqrt(bits * segments * share * (1 - share)))
-    per_long = 63 // bits
-    chain = int(per_long * bits * share + 3.5 * math.sqrt(per_long * bits * share * (1 - share)))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_key"), F.col(text_col).alias("_text"))
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(rows, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1024):
-                rows = batch.slice(at, 1024)
-                wide = np.concatenate([wide_fingerprint(t.as_py(), width, bits, segments) for t in rows.column("_text")])
-                offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * segments)
-                yield pa.RecordBatch.from_arrays([rows.column("_key"), pa.ListArray.from_arrays(offsets, pa.array(wide))], ["_key", "ring"])
-
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_key"), F.col(text_col).alias("_text"))
-    printed = materialize(rows.mapInArrow(run, "_key long, ring array<bigint>"))
-    nodes = materialize(printed.groupBy("ring").agg(F.min("_key").alias("node")))
-
-    at = lambda i: F.element_at("ring", F.pmod(i, F.lit(segments)) + 1)
-    ahead = lambda i: reduce(lambda a, b: F.shiftleft(a, bits).bitwiseOR(b), [at(i + k) for k in range(1, per_long + 1)])
-    keyed = nodes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda i: F.struct(at(i).alias("value"), ahead(i).alias("ahead")))))
-    keyed = keyed.select("node", F.col("pos").alias("segment"), "col.value", "col.ahead")
-    sizes = materialize(keyed.groupBy("segment", "value").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"))
-    shared = materialize(keyed.join(sizes, ["segment", "value"]))
+                part = batch.slice(at, 1024)
+                sets = [shingles(t.as_py(), width) for t in part.column("_text")]
+                yield pa.RecordBatch.from_arrays([
+                    part.column("_key"), pa.array([hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in sets], pa.binary()),
+                    pa.array([len(v) for v in sets], pa.int32()), _lists([rarest(v, common.value, similarity) for v in sets]), _lists([parities(v) for v in sets]),
+                ], ["_key", "digest", "size", "rare", "odd"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column("_key"), _lists([shingles(t.as_py(), width) for t in part.column("_text")])], ["node", "set"])
+
+    printed = materialize(rows.mapInArrow(run, "_key long, digest binary, size int, rare array<bigint>, odd array<bigint>"))
+    nodes = materialize(printed.groupBy("digest", "size", "rare", "odd").agg(F.min("_key").alias("node")))
+    keyed = nodes.select("node", "size", F.posexplode("rare").alias("pos", "value"))
+    sizes = materialize(keyed.groupBy("value").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"))
+    shared = materialize(keyed.join(sizes, "value"))
     few = shared.where(F.col("n") <= cap)
-    a = few.select("segment", "value", F.col("node").alias("a"), F.col("ahead").alias("ahead_a"))
-    b = few.select("segment", "value", F.col("node").alias("b"), F.col("ahead").alias("ahead_b"))
-    pairs = a.join(b, ["segment", "value"]).where((F.col("a") < F.col("b")) & (_differing(F.col("ahead_a"), F.col("ahead_b")) <= chain))
+    a = few.select("value", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("pos").alias("pos_a"))
+    b = few.select("value", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"))
+    left_over = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+    enough = left_over / (F.col("size_a") + F.col("size_b") - left_over) >= similarity
+    pairs = a.join(b, "value").where((F.col("a") < F.col("b")) & enough)
     many = shared.where(F.col("n") > cap)
-    spokes = many.where("node <> hub").select("hub", "node").distinct()
-    ring = lambda name: nodes.select(F.col("node").alias(name), F.col("ring").alias(f"ring_{name}"))
-    apart = F.aggregate(F.zip_with("ring_a", "ring_b", _differing), F.lit(0), lambda n, d: n + d)
-    wanted = pairs.select("a", "b").unionByName(spokes.select(F.col("hub").alias("a"), F.col("node").alias("b"))).distinct()
-    links = materialize(wanted.join(ring("a"), "a").join(ring("b"), "b").where(apart <= budget).select("a", "b"))
-
-    # nodes of frequent values that their hub does not link meet all nodes of the value, in blocks
+    spokes = many.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    differing = (1 - similarity) / (1 + similarity)  # at most this share of the sum of both sizes
+    about = lambda name: nodes.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("odd").alias(f"odd_{name}"))
+    apart = F.aggregate(F.zip_with("odd_a", "odd_b", _differing), F.lit(0), lambda n, d: n + d)
+
+    def reached(wanted: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose whole sets are similar enough."""
+        wanted = materialize(wanted)
+        met = wanted.select(F.col("a").alias("node")).unionByName(wanted.select(F.col("b").alias("node"))).distinct()
+        sets = materialize(rows.join(met, rows["_key"] == met["node"], "left_semi").mapInArrow(whole, "node long, set array<bigint>"))
+        of = lambda name: sets.select(F.col("node").alias(name), F.col("set").alias(f"set_{name}"))
+        both = F.size(F.array_intersect("set_a", "set_b"))
+        alike = both / (F.size("set_a") + F.size("set_b") - both) >= similarity
+        return materialize(wanted.join(of("a"), "a").join(of("b"), "b").where(alike).select("a", "b"))
+
+    wanted = pairs.select("a", "b").unionByName(spokes).distinct().join(about("a"), "a").join(about("b"), "b")
+    links = reached(wanted.where(apart <= differing * (F.col("size_a") + F.col("size_b")) + 1e-6).select("a", "b"))
+
+    # nodes of frequent shingles that their hub does not link meet all nodes of the shingle, in blocks
     rest = materialize(many.where("node <> hub").join(
         links.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti"
-    ).select("segment", "value", "node"))
-    counts = rest.groupBy("segment", "value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_left"))
-    widths = materialize(many.groupBy("segment", "value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_right")).join(counts, ["segment", "value"]))
+    ).select("value", "node"))
+    counts = rest.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_left"))
+    widths = materialize(many.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_right")).join(counts, "value"))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    full = lambda side: side.join(widths, ["segment", "value"]).join(nodes, "node")
-    left = full(rest).select("segment", "value", "node", "ring", own("n_left").alias("l"), every("n_right").alias("r"))
-    right = full(many.select("segment", "value", "node")).select("segment", "value", "node", "ring", own("n_right").alias("r"), every("n_left").alias("l"))
+    full = lambda side: side.join(widths, "value").join(nodes.select("node", "size", "odd"), "node")
+    left = full(rest).select("value", "node", "size", "odd", own("n_left").alias("l"), every("n_right").alias("r"))
+    right = full(many.select("value", "node")).select("value", "node", "size", "odd", own("n_right").alias("r"), every("n_left").alias("l"))
 
     def compare(block: pa.Table) -> pa.Table:
-        rings, nodes_of, is_left = matrix(block.column("ring")), block.column("node").to_numpy(), block.column("left").to_numpy()
-        x, y = rings[is_left], rings[~is_left]
-        if not len(x) or not len(y):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        ids = np.concatenate([nodes_of[is_left], nodes_of[~is_left]])
-        i, j = [], []
-        for row in range(len(x)):
-            near = np.flatnonzero(np.bitwise_count(x[row] ^ y).sum(axis=1, dtype=np.int64) <= budget)
-            i.append(np.full(len(near), row))
-            j.append(near + len(x))
-        low = smallest_linked(ids, np.concatenate(i), np.concatenate(j))
-        moved = low != ids
-        return pa.table({"a": ids[moved], "b": low[moved]})
-
-    both = left.withColumn("left", F.lit(True)).unionByName(right.withColumn("left", F.lit(False)))
-    star = both.groupBy("segment", "value", "l", "r").applyInArrow(compare, "a long, b long")
-    roots = components(links.unionByName(materialize(star)))
-    classes = nodes.join(roots, "node", "left").select("ring", "node", F.coalesce("root", "node").alias("root"))
+        is_left, ids, size = (block.column(c).to_numpy() for c in ("left", "node", "size"))
+        odd, others = matrix(block.column("odd")), np.flatnonzero(~is_left)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for row in np.flatnonzero(is_left):
+            n = np.bitwise_count(odd[row] ^ odd[others]).sum(axis=1, dtype=np.int64)
+            both = size[row].astype(np.int64) + size[others]
+            near = others[(n <= differing * both + 1e-6) & (np.abs(size[row] - size[others]) <= differing * both + 1e-6) & (ids[others] != ids[row])]
+            a.append(np.minimum(ids[row], ids[near]))
+            b.append(np.maximum(ids[row], ids[near]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    blocks = left.withColumn("left", F.lit(True)).unionByName(right.withColumn("left", F.lit(False)))
+    met = materialize(blocks.groupBy("value", "l", "r").applyInArrow(compare, "a long, b long")).distinct()
+    roots = components(links.unionByName(reached(met)))
+    classes = nodes.join(roots, "node", "left").select("digest", "node", F.coalesce("root", "node").alias("root"))
     classes = materialize(classes)
     least = classes.groupBy("root").agg(F.min("node").alias("component_id"))
-    classes = materialize(classes.join(least, "root").select("ring", "component_id"))
-    return printed.join(classes, "ring").select("_key", "component_id")
+    classes = materialize(classes.join(least, "root").select("digest", "component_id"))
+    return printed.join(classes, "digest").select("_key", "component_id")
+
+
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -42,6 +42,46 @@ def test_near_copies_of_texts(make):
     assert simhash.near_copies(make([])).count() == 0
 
 
+def test_near_copies_at_the_threshold_in_tables_of_two_sizes(make):
+    """Pairs of similarity 0.79, 0.80 and 0.81, and of short texts; more texts around change nothing."""
+    rng = random.Random(3)
+    rows, linked = [], {}
+    for k in range(60):
+        whole, shift = [f"{k}w{i}" for i in range(240)], (21, 20, 19)[k % 3]
+        a, b = (" ".join(whole[at:at + 204 - shift]) for at in (0, shift))
+        assert round(100 * similar(a, b)) == 79 + k % 3
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        linked[2 * k + 1] = k % 3 > 0
+    for k in range(60, 90):
+        whole, n = [f"{k}s{i}" for i in range(20)], 7 + k % 2
+        rows += [(2 * k, " ".join(whole[:8])), (2 * k + 1, " ".join(whole[:n]) + (" end" if n == 8 else ""))]
+        linked[2 * k + 1] = similar(rows[-2][1], rows[-1][1]) >= 0.8
+    assert sum(linked.values()) == 55
+    for more in (0, 3000):
+        table = rows + [(1000 + i, prose(rng, 30)) for i in range(more)]
+        for cap in (1, 8):
+            got = {r._key: r.component_id for r in simhash.near_copies(make(table), cap=cap).collect()}
+            assert {i: got[i] == i - 1 for i in linked} == linked
+            assert all(got[i] == i for i in got if i not in linked)
+
+
+def test_near_copies_of_one_frequent_line(make, monkeypatch):
+    """A line of most texts makes long lists of unlike texts; the blocks give what all pairs give."""
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    rng = random.Random(4)
+    line, rows = prose(rng, 30), []
+    for i in range(60):
+        rows.append((i, line + " " + (prose(rng, 6) if i % 3 else rows[i - 3][1][len(line):] + " x" if i else "y")))
+    root = list(range(60))
+    for a in range(60):
+        for b in range(a):
+            if similar(rows[a][1], rows[b][1]) >= 0.8 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    for cap in (2, 8):
+        assert {r._key: r.component_id for r in simhash.near_copies(make(rows), cap=cap).collect()} == dict(enumerate(root))
+
+
 def tables(spark, tmp_path):
     rng = random.Random(2)
     shared = prose(rng, 60)
