@@ -18,16 +18,67 @@ LINKS = "rep long, n_links long, low long"
 
 
 def choose_pivots(x: np.ndarray, n: int, apart: float = 0.8) -> np.ndarray:
-    """Up to ``n`` of the unit vectors ``x``, in order, none closer than ``apart`` to an earlier one."""
+    """Up to ``n`` of the unit vectors ``x``, in order, none closer than ``apart`` to an earlier one; then those least close."""
     chosen: list[np.ndarray] = []
     for v in x:
         if not chosen or (np.array(chosen) @ v).max() < apart:
             chosen.append(v)
             if len(chosen) == n:
                 break
+    if chosen and len(chosen) < n:
+        near = (x @ np.array(chosen).T).max(axis=1)
+        while len(chosen) < n and near.min() < 1 - 1e-12:
+            chosen.append(x[near.argmin()])
+            near = np.maximum(near, x @ chosen[-1])
     return np.array(chosen)
 
 
+def near_pairs(x: np.ndarray, threshold: float, most: int = 2000) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs to measure recall on: of unit vectors ``x`` those just above ``threshold``, and made ones right at it."""
+    if not len(x):
+        return []
+    x = x[-most:]  # pivots are taken from the front and meet themselves
+    i, j = np.nonzero(np.triu(x @ x.T >= threshold, 1))
+    last = np.argsort((x[i] * x[j]).sum(axis=1), kind="stable")[:most]
+    found = [(x[i[last]], x[j[last]])] if len(i) else []
+    if len(x) and x.shape[1] > 1:
+        away = np.random.default_rng(7).normal(size=x.shape)
+        away = unit(away - (away * x).sum(axis=1, keepdims=True) * x)
+        found.append((x, threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * away))
+    return found
+
+
+def layout(pivots: np.ndarray, pairs: list, lists: int, length: int, shared: int, recall: float = 0.99) -> tuple[int, int, int, int]:
+    """(pivots, lists, length, shared) with fewest comparisons that finds ``recall`` of each kind of ``pairs``.
+
+    Comparisons grow with lists * lists / pivots. Fewer pivots or more lists than given are taken as far as recall needs
+    them; one pivot compares all with all and misses none. ``shared`` cannot be above the number of pivots.
+    """
+    best, n = None, len(pivots)
+    while n:
+        orders = [tuple(nearest_pivots(v, pivots[:n], max(length, 16 * lists)) for v in pair) for pair in pairs]
+        for k in sorted({min(n, int(lists * f)) for f in (1, 1.5, 2, 3, 4, 6, 8)}):
+            wide = min(n, max(length, 2 * k))
+            least = min(shared, wide)
+            if best is None or k * k / n < best[0]:
+                if all(_met(a, b, k, wide, least) >= recall for a, b in orders):
+                    best = k * k / n, (n, k, wide, least)
+                    break
+        n //= 2
+    return best[1] if best else (0, lists, length, shared)
+
+
+def _met(a: np.ndarray, b: np.ndarray, lists: int, length: int, shared: int) -> float:
+    """Share of the pairs of orders that are candidates."""
+    common = np.zeros(len(a), np.int64)
+    listed = np.zeros(len(a), bool)
+    for k in range(length):
+        common += (a[:, k, None] == b[:, :length]).any(axis=1)
+        if k < lists:
+            listed |= (a[:, k, None] == b[:, :lists]).any(axis=1)
+    return float((listed & (common >= shared)).mean())
+
+
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
     """Indexes of the ``n`` nearest pivots of each unit vector, nearest first, ties to the smaller index."""
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :n].astype(np.int32)
@@ -52,8 +103,13 @@ def _block_links(a: dict, b: dict, pivot: int, lists: int, shared: int, threshol
     shift = 0 if same else len(a["rep"])
     if len(i):
         # a pair that shares several lists is counted in that of the smallest pivot
-        pair_a, pair_b = a["order"][i, :lists], b["order"][j, :lists]
-        common = np.where((pair_a[:, :, None] == pair_b[:, None, :]).any(axis=2), pair_a, np.iinfo(np.int32).max).min(axis=1)
+        common = np.full(len(i), np.iinfo(np.int32).max)
+        for k in range(lists):
+            pair_a = a["order"][i, k]
+            met = np.zeros(len(i), bool)
+            for other in range(lists):
+                met |= pair_a == b["order"][j, other]
+            common[met] = np.minimum(common[met], pair_a[met])
         mine = common == pivot
         np.add.at(counts, i[mine], b["n"][j[mine]])
         if not same:
@@ -68,7 +124,8 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Equal vectors are one node with a count. About the square root of their number of pivots, at most
     ``max_pivots`` and none close to another, are taken from a sample of four times as many. A vector is
-    described by its ``length`` nearest pivots in order and stands in the lists of the first ``lists``. Two
+    described by its ``length`` nearest pivots in order and stands in the lists of the first ``lists``; with the
+    pivots at hand both are raised until 99 of 100 pairs at the threshold are found on the sample (see ``layout``). Two
     vectors of a list that share at least ``shared`` described pivots are candidates; those with a cosine of
     ``threshold`` or more, in double precision, link. A list is compared block against block of 1,024 rows:
     a long one is many small tasks, and what comes out is a count and one link per row and pair of blocks.
@@ -83,7 +140,10 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     reps = materialize(vectors.groupBy("vector").agg(F.min("_key").alias("rep"), F.count("*").alias("n")))
     goal = min(max_pivots, max(64, math.isqrt(reps.count())))
     _, drawn = sample(reps.select(F.col("rep").alias("_key"), "vector"), 4 * goal)
-    pivots = spark.sparkContext.broadcast(choose_pivots(unit(drawn), goal))
+    drawn = unit(drawn)
+    chosen = choose_pivots(drawn, goal)
+    n, lists, length, shared = layout(chosen, near_pairs(drawn, threshold), lists, length, shared)
+    pivots = spark.sparkContext.broadcast(chosen[:n])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

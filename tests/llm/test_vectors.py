@@ -46,6 +46,31 @@ def test_pivot_index_is_exact_on_groups(spark, monkeypatch, block):
     assert [got[i].component_id for i in ids] == roots
 
 
+def test_pivot_index_of_one_tight_group(spark):
+    """Vectors that are all close to the first: two alone, and forty."""
+    two = [(1, [1.0, 0.0]), (2, [0.95, math.sqrt(1 - 0.95**2)])]
+    for rows in (two, grouped(np.random.default_rng(3), 1, 40, 0.12, dim=16)):
+        got = {r._key: r for r in pivots.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+        ids, degree, roots = brute_links(rows, 0.9)
+        assert degree.sum() > 0
+        assert [got[i].n_links for i in ids] == degree.tolist()
+        assert [got[i].component_id for i in ids] == roots
+
+
+def test_recall_holds_with_thousands_of_pivots():
+    """Pairs that the layout was not chosen on, at the threshold, as many pivots as a large table has."""
+    rng = np.random.default_rng(4)
+    x = vectors.unit(rng.normal(size=(16_384, 64)))
+    chosen = pivots.choose_pivots(x, 4096)
+    n, lists, length, shared = pivots.layout(chosen, pivots.near_pairs(x, 0.9), 4, 8, 2)
+    a = vectors.unit(rng.normal(size=(2000, 64)))
+    away = rng.normal(size=a.shape)
+    b = 0.9 * a + math.sqrt(0.19) * vectors.unit(away - (away * a).sum(1, keepdims=True) * a)
+    recall = lambda n, k, m, s: pivots._met(*(pivots.nearest_pivots(v, chosen[:n], m) for v in (a, b)), k, m, s)
+    print(len(chosen), (n, lists, length, shared), recall(n, lists, length, shared), recall(len(chosen), 4, 8, 2))
+    assert recall(n, lists, length, shared) >= 0.98
+
+
 def test_pivot_index_odd_rows(spark):
     frame = spark.createDataFrame([(i, v, "x") for i, v in ODD], VECTORS + ", n_links string")
     got = pivots.near_duplicates(frame).collect()
