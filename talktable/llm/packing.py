@@ -45,13 +45,13 @@ class Encoder:
 
     Pre-tokens never hold a space inside, and a space before a character that is not white space starts one.
     So a text may be cut at such spaces, and each piece keeps its ids; they are remembered for ``remember``
-    pieces. Texts in which a space meets other white space are encoded whole. Names of special tokens in a
-    text are ordinary text.
+    pieces. Texts in which a space meets other white space are encoded whole. With ``added`` the file's added
+    tokens are found in a text first and cut it, as the tokenizer's own library does; without, their names are ordinary text.
     """
 
     _ODD = re.compile(r" (?:\s|$)")
 
-    def __init__(self, definition: str, remember: int = 500_000):
+    def __init__(self, definition: str, remember: int = 500_000, added: bool = False):
         import tiktoken
 
         model = json.loads(definition)
@@ -61,12 +61,22 @@ class Encoder:
         self._ids = coder.encode_ordinary
         self.remember = remember
         self.known: dict[str, bytes] = {}
+        found = model.get("added_tokens", ()) if added else ()
+        if any(t.get(flag) for t in found for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take white space or whole words only are not supported")
+        self.added = {t["content"]: struct.pack("<I", t["id"]) for t in found}
+        self._cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if found else None
 
     def _encode(self, text: str) -> bytes:
         ids = self._ids(text)
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
+        if self._cut is None or not self._cut.search(text):
+            return self._plain(text)
+        return b"".join(self.added[part] if part in self.added else self._plain(part) for part in self._cut.split(text) if part)
+
+    def _plain(self, text: str) -> bytes:
         if self._ODD.search(text):
             return self._encode(text)
         first, *rest = text.split(" ")
@@ -83,12 +93,12 @@ class Encoder:
         return (self._encode(first) if first else b"") + b"".join(out)
 
 
-def _encoder(definition: str) -> Encoder:
+def _encoder(definition: str, added: bool) -> Encoder:
     """One encoder per Python worker."""
-    key = zlib.crc32(definition.encode())
+    key = zlib.crc32(definition.encode()), added
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(definition)
+        _ENCODERS[key] = Encoder(definition, added=added)
     return _ENCODERS[key]
 
 
@@ -184,7 +194,7 @@ def _first_id(level: int, task: int) -> int:
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 1,
-         open_windows: int = 16, keep_ids: bool = True) -> DataFrame:
+         open_windows: int = 16, keep_ids: bool = True, added_tokens: bool = False) -> DataFrame:
     """Pieces of all texts of ``docs`` in sequences of ``size`` tokens.
 
     A document is its ids, null and empty texts none, and ``end_id``. Columns: doc_id, start (ids of the
@@ -193,6 +203,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     ``keep_ids``). All sequences are full but at most eleven at the end, whose lengths are powers of two.
     Null ids are packed like others; repeated rows are packed each; other columns are not read; an empty table
     gives no pieces. ``tokenizer`` is the file of the vocabulary, read on the driver and sent to the workers.
+    With ``added_tokens`` names of the file's added tokens in a text give their ids, otherwise they are ordinary text.
 
     Each task packs its own rows with ``open_windows`` open windows; the leftovers, at most that many windows
     a task, are written with their ids and merged 64 tasks at a time until one group is left.
@@ -204,7 +215,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        encode, packer = _encoder(definition.value), Packer(size, open_windows, _first_id(0, task))
+        encode, packer = _encoder(definition.value, added_tokens), Packer(size, open_windows, _first_id(0, task))
         for batch in batches:
             for key, text in zip(batch.column("_key").to_pylist(), batch.column("_text")):
                 ids = encode(text.as_py() or "") + end

@@ -67,7 +67,7 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), keep_ids=False).drop("ids")
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), keep_ids=False, added_tokens=True).drop("ids")
 
 
 def op8_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -295,6 +295,19 @@ def test_packing_is_exact_and_full(make, byte_file, monkeypatch):
     packed(packing.pack(make(rows).repartition(5), byte_file, size=64, open_windows=3), rows, byte_file)
 
 
+def test_ids_with_added_tokens_are_those_of_the_tokenizer_as_loaded(make, byte_file):
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(byte_file)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b", " <|endoftext|> \n x", "a <|endoftext| > b", "plain  text ", ""]
+    want = {i: [*coder.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275, 1]
+    rows = packing.pack(make(list(enumerate(texts))), byte_file, added_tokens=True).orderBy("start").collect()
+    got = {i: b"".join(bytes(r.ids) for r in rows if r.doc_id == i) for i in want}
+    assert {i: list(struct.unpack(f"<{len(b) // 4}I", b)) for i, b in got.items()} == want
+    assert all(r.doc_tokens == len(want[r.doc_id]) for r in rows)
+
+
 def test_packing_odd_rows(make, byte_file):
     packed(packing.pack(make(ODD, extra=["length", "ids", "_key"]), byte_file, size=64), ODD, byte_file)
     assert packing.pack(make([]), byte_file).count() == 0
