@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talktable.llm import licenses, packing, partitions, pieces, pivots, quality, simhash, substring, suffixes, tokens
+from talktable.llm import licenses, packing, partitions, pieces, pivots, quality, runs, simhash, substring, suffixes, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,10 +85,38 @@ def op10_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitions.nearest(base, base.where("vec_id % 20 = 0"), k=20)
 
 
+def _with_loops(docs: DataFrame) -> DataFrame:
+    """``docs`` with the words of some texts, chosen by the checksum of the id, repeating from a place on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+    n, words = F.size("_words"), F.col("_words")
+    a = F.pmod(g, F.col("_n")).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    loop = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), F.lit(1), n - a)
+    split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    looped = docs.withColumn("_words", F.when(h % 10 == 0, split)).withColumn("_n", F.size("_words"))
+    text = F.when(F.col("_n") > 0, F.concat_ws(" ", F.slice(words, F.lit(1), a), loop)).otherwise(F.col("text"))
+    return looped.select("doc_id", text.alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(_with_loops(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    nothing = F.lit(None).cast("struct<start: long, length: long, period: long>")
+    denser = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate("runs", nothing, lambda b, r: F.when(denser(b, r), r).otherwise(b))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.withColumn("best", best).select(
+        F.col("_key").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_suffixes, op3_quality, op4_token_counts, op5_licenses, op6_pieces, op7_packing, op8_pivots, op9_simhash,
-        op10_partitions,
+        op10_partitions, op11_runs,
     )
 }
 # Lines are cut at \n, forms are lower case with single spaces, ranks are (doc_id, offset).
