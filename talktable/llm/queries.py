@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talktable.llm import licenses, packing, partitions, pieces, pivots, quality, runs, simhash, substring, suffixes, tokens
+from talktable.llm import licenses, packing, partitions, pieces, pivots, prefixes, quality, runs, simhash, substring, suffixes, tokens
+from talktable.storage import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,10 +114,28 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _rebuilt(paths: DataFrame) -> DataFrame:
+    """Conversations that begin with the first turns, 0 to 3 by the checksum of their id, of the one at the last multiple of 20."""
+    h = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(4)).cast("int")
+    own = materialize(paths)
+    first = own.where("conv_id % 20 = 0").select(
+        F.col("conv_id").alias("donor"), F.substring("path", 1, 3 * prefixes.WIDTH).alias("head"), F.slice("words", 1, 3).alias("head_words")
+    )
+    both = own.join(first, F.col("conv_id") - F.pmod("conv_id", F.lit(20)) == F.col("donor"), "left").withColumn("h", h)
+    head = F.coalesce(F.substring("head", F.lit(1), F.col("h") * prefixes.WIDTH), F.lit(b""))
+    counts = F.coalesce(F.slice("head_words", F.lit(1), F.col("h")), F.array().cast("array<int>"))
+    rest = F.substring("path", F.col("h") * prefixes.WIDTH + 1, F.length("path"))
+    return both.select("conv_id", F.concat(head, rest).alias("path"), F.concat(counts, F.slice("words", F.col("h") + 1, F.size("words"))).alias("words"))
+
+
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_nodes(_rebuilt(prefixes.conversation_paths(_table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_suffixes, op3_quality, op4_token_counts, op5_licenses, op6_pieces, op7_packing, op8_pivots, op9_simhash,
-        op10_partitions, op11_runs,
+        op10_partitions, op11_runs, op13_prefixes,
     )
 }
 # Lines are cut at \n, forms are lower case with single spaces, ranks are (doc_id, offset).
@@ -145,4 +164,36 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '')
 FROM documents d LEFT JOIN kept USING (doc_id)
 """,
     "op5_licenses": licenses.oracle_sql(),
+    # A path is the digests of its turns; a node's subtree are the nodes that list it among their beginnings.
+    "op13_prefixes": r"""
+WITH turns AS (
+  SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+         length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(id ORDER BY turn NULLS FIRST, id) AS ids, list(words ORDER BY turn NULLS FIRST, id) AS words,
+         xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda d: [ord(d)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+           lambda a, x: xor(xor(a, x) // 2, 3988292384 * (xor(a, x) % 2))), 4294967295) % 4 AS h
+  FROM turns GROUP BY conv_id
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(d.ids[1:c.h], []), c.ids[c.h + 1:]) AS ids, list_concat(coalesce(d.words[1:c.h], []), c.words[c.h + 1:]) AS words
+  FROM own c LEFT JOIN own d ON d.conv_id = c.conv_id - c.conv_id % 20
+), members AS (
+  SELECT conv_id, depth, array_to_string(ids[1:depth], '') AS path, coalesce(words[depth], 0) AS words, depth = length(ids) AS ends
+  FROM (SELECT *, unnest(range(0, length(ids) + 1)) AS depth FROM rebuilt)
+), nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM members GROUP BY path, depth
+), kin AS (
+  SELECT path[1:32 * (depth - 1)] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), subtrees AS (
+  SELECT n.path[1:32 * up] AS path, sum(n.saved) AS saved_tokens, sum((kin.path IS NULL)::INT) AS n_leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM nodes) n LEFT JOIN kin ON kin.path = n.path GROUP BY 1
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(kin.n_children, 0) AS n_children,
+       subtrees.n_leaves::BIGINT AS n_leaves, subtrees.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtrees ON subtrees.path = n.path LEFT JOIN kin ON kin.path = n.path
+LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[1:32 * (n.depth - 1)]
+""",
 }
