@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talktable.llm import licenses, packing, partitions, pieces, pivots, prefixes, quality, runs, simhash, substring, suffixes, tokens
+from talktable.llm import licenses, packing, partitions, personal, pieces, pivots, prefixes, quality, runs, simhash, substring, suffixes, tokens
 from talktable.storage import materialize
 
 
@@ -114,6 +114,15 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        F.col("_key").alias("doc_id"), *map(count, personal.KINDS),
+        F.sha2(personal.listed(F.col("base")), 256).alias("base_sha256"), personal.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def _rebuilt(paths: DataFrame) -> DataFrame:
     """Conversations that begin with the first turns, 0 to 3 by the checksum of their id, of the one at the last multiple of 20."""
     h = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(4)).cast("int")
@@ -135,7 +144,7 @@ def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_suffixes, op3_quality, op4_token_counts, op5_licenses, op6_pieces, op7_packing, op8_pivots, op9_simhash,
-        op10_partitions, op11_runs, op13_prefixes,
+        op10_partitions, op11_runs, op12_personal, op13_prefixes,
     )
 }
 # Lines are cut at \n, forms are lower case with single spaces, ranks are (doc_id, offset).
