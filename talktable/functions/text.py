@@ -109,27 +109,31 @@ def is_hallucination(text: Column, share: float = 0.45, in_a_row: int = 4) -> Co
     return (bare == "") | let(split_words(F.lower(_text(text))), looping)
 
 
-def _first_repeat(words: Column, n: int) -> Column:
-    """Smallest position whose ``n``-word phrase has occurred before, null if none.
+def _longer(phrases: Column, words: Column, n: Column) -> Column:
+    """Phrases of one word more: each with the word after it, ``n`` words on."""
+    count = F.greatest(F.size(words) - n, F.lit(0))
+    return F.zip_with(F.slice(phrases, F.lit(1), count), F.slice(words, n + 1, count), lambda p, w: F.concat_ws(" ", p, w))
 
-    Phrases are sorted with their positions, so equal ones are neighbours.
-    """
-    phrases = F.transform(
-        F.sequence(F.lit(0), F.size(words) - n),
-        lambda i: F.struct(F.array_join(F.slice(words, i + 1, F.lit(n)), " ").alias("p"), i.alias("i")),
-    )
 
-    def earliest(ordered):
-        return F.array_min(
-            F.transform(
-                F.sequence(F.lit(1), F.size(ordered) - 1),
-                lambda j: F.when(
-                    F.get(ordered, j)["p"] == F.get(ordered, j - 1)["p"], F.get(ordered, j)["i"]
-                ),
-            )
-        )
+def _first_repeat(phrases: Column, distinct: Column) -> Column:
+    """Position of the first phrase that has occurred before: there the distinct phrases leave the order of all."""
+    same = F.zip_with(distinct, F.slice(phrases, F.lit(1), F.size(distinct)), lambda a, b: a == b)
+    differs = F.array_position(same, False)
+    return F.when(differs > 0, differs - 1).otherwise(F.size(distinct).cast("bigint")).cast("int")
+
+
+def _cut(words: Column, phrases: Column, n: int, most: int) -> Column:
+    """First repeat among the longest phrases of ``n`` to ``most`` words that repeat at all, null if none does.
+
+    A longer phrase repeats only where its beginning does, so longer ones are made only where shorter ones repeat.
+    """
+    def decide(distinct):
+        own = _first_repeat(phrases, distinct)
+        if n < most:
+            own = F.coalesce(let(_longer(phrases, words, F.lit(n)), lambda p: _cut(words, p, n + 1, most)), own)
+        return F.when(F.size(distinct) < F.size(phrases), own)
 
-    return let(F.sort_array(phrases), earliest)
+    return let(F.array_distinct(phrases), decide)
 
 
 def truncate_repetition(text: Column) -> Column:
@@ -141,7 +145,7 @@ def truncate_repetition(text: Column) -> Column:
     """
 
     def cleaned(words):
-        cut = F.coalesce(*[_first_repeat(words, n) for n in (5, 4, 3, 2)])
+        cut = let(_longer(words, words, F.lit(1)), lambda pairs: _cut(words, pairs, 2, 5))
         unique = F.size(F.array_distinct(words)) / F.size(words)
         return let(
             cut,
