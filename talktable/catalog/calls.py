@@ -250,14 +250,17 @@ def _(spark, d):
 
 
 def _agents(spark, d):
-    """Registry documents, one per agent: a list of voiceprints, or for some a single legacy path."""
-    a = W.table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))
-    path = lambda c: F.col(c).cast("string")
-    listed = F.array(*[F.struct(path(c).alias("path"), F.lit("high").alias("bucket"), F.col("n").alias("n_clips"), F.lit(20.0).alias("snr_db")) for c in ("first", "last")])
+    """Registry documents that hold every vector of a label: lists of at most a thousand voiceprints, or for some labels legacy paths of one each."""
+    listed = F.col("label") >= 3
+    path = F.col("vec_id").cast("string")
+    item = F.struct(path.alias("path"), F.lit("high").alias("bucket"), F.lit(1).cast("bigint").alias("n_clips"), F.lit(20.0).alias("snr_db"))
+    call = F.struct(path.alias("_id"), F.lit(21.5).alias("snr_db"), F.lit("high").alias("bucket"), F.lit(1).cast("bigint").alias("embs"))
+    sheet = F.when(listed, F.floor(F.col("vec_id") / 1000)).otherwise(F.col("vec_id"))
+    a = W.table(spark, d, "embeddings").groupBy("label", sheet.alias("sheet")).agg(
+        F.min(path).alias("first"), F.collect_list(item).alias("items"), F.collect_list(call).alias("calls"))
     entry = F.struct(
-        F.concat(F.lit("Agent "), F.col("label").cast("string")).alias("agent_name"), path("first").alias("voiceprint_path"),
-        F.when(F.col("label") >= 3, listed).alias("voiceprints"),
-        F.array(F.struct(path("first").alias("_id"), F.lit(21.5).alias("snr_db"), F.lit("high").alias("bucket"), F.col("n").alias("embs"))).alias("per_call_snr"),
+        F.concat(F.lit("Agent "), F.col("label").cast("string")).alias("agent_name"), F.col("first").alias("voiceprint_path"),
+        F.when(listed, F.col("items")).alias("voiceprints"), F.col("calls").alias("per_call_snr"),
         F.lit(0.7).alias("mean_inside_sim"), F.lit("0.3").alias("max_outside_sim"), F.lit("index").alias("source"))
     js = F.to_json(F.map_from_arrays(F.array(F.concat(F.lit("agent_"), F.col("label").cast("string"))), F.array(entry)))
     return G.parse_agents(a.select(js.alias("json")))
@@ -268,16 +271,15 @@ def _prints(spark, d):
     return G.voiceprints(_agents(spark, d), vectors)
 
 
-_REG = """(SELECT 'agent_' || label AS agent_slug, 'Agent ' || label AS agent_name, unnest(CASE WHEN label >= 3 THEN [f, l] ELSE [f] END) AS vec_id
-   FROM (SELECT label, min(vec_id) AS f, max(vec_id) AS l FROM embeddings GROUP BY label))"""
+_REG = "(SELECT 'agent_' || label AS agent_slug, 'Agent ' || label AS agent_name, vec_id FROM embeddings)"
 
 
 @query("read_registry", f"""
-    SELECT agent_slug, agent_name, CAST(vec_id AS VARCHAR) AS path, len(embedding) AS dim,
-           round(CAST(embedding[1] AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS first FROM {_REG} JOIN embeddings USING (vec_id)""")
+    SELECT agent_slug, agent_name, CAST(vec_id AS VARCHAR) AS path, unnest(range(len(e))) AS at, round(unnest(e) / sqrt(list_dot_product(e, e)), 6) AS value
+    FROM (SELECT agent_slug, agent_name, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM {_REG} JOIN embeddings USING (vec_id))""")
 def _(spark, d):
-    return _prints(spark, d).select("agent_slug", "agent_name", "path", F.col("dim").cast("bigint").alias("dim"),
-                                    F.round(F.get("embedding", F.lit(0)), 6).alias("first"))
+    return _prints(spark, d).select("agent_slug", "agent_name", "path", F.posexplode("embedding").alias("at", "value")).select(
+        "agent_slug", "agent_name", "path", F.col("at").cast("bigint").alias("at"), F.round("value", 6).alias("value"))
 
 
 @query("registry_inventory", f"""
@@ -288,13 +290,15 @@ def _(spark, d):
 
 
 @query("upsert_registry", f"""
-    SELECT agent_slug, source, count(*) AS n FROM (
-      SELECT agent_slug, 'old' AS source FROM {_REG} WHERE agent_slug NOT IN (SELECT 'agent_' || label FROM embeddings GROUP BY label HAVING count(*) > 50)
-      UNION ALL SELECT 'agent_' || label, 'new' FROM embeddings GROUP BY label HAVING count(*) > 50) GROUP BY ALL""")
+    SELECT agent_slug, source, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids FROM (
+      SELECT agent_slug, 'old' AS source, vec_id FROM {_REG} WHERE agent_slug NOT IN (SELECT 'agent_' || label FROM embeddings GROUP BY label HAVING count(*) > 50)
+      UNION ALL SELECT 'agent_' || label, 'new', vec_id FROM embeddings WHERE label IN (SELECT label FROM embeddings GROUP BY label HAVING count(*) > 50)) GROUP BY ALL""")
 def _(spark, d):
-    old = _prints(spark, d).select("agent_slug", F.lit("old").alias("source"))
-    new = W.vectors(spark, d).groupBy("agent_slug").agg(F.count("*").alias("n")).where("n > 50").select("agent_slug", F.lit("new").alias("source"))
-    return G.upsert_registry(old, new).groupBy("agent_slug", "source").agg(F.count("*").alias("n"))
+    old = _prints(spark, d).select("agent_slug", F.lit("old").alias("source"), F.col("path").cast("bigint").alias("vec_id"))
+    v = W.vectors(spark, d)
+    large = v.groupBy("agent_slug").agg(F.count("*").alias("n")).where("n > 50").select("agent_slug")
+    new = v.join(large, "agent_slug", "left_semi").select("agent_slug", F.lit("new").alias("source"), "vec_id")
+    return G.upsert_registry(old, new).groupBy("agent_slug", "source").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
 
 
 @query("export_registry", f"""
@@ -307,8 +311,7 @@ def _(spark, d):
     return manifest.drop("dims").join(again, how="cross")
 
 
-@query("trained_ids", """
-    SELECT DISTINCT CAST(f AS VARCHAR) AS call_id FROM (SELECT min(vec_id) AS f FROM embeddings GROUP BY label)""")
+@query("trained_ids", "SELECT DISTINCT CAST(vec_id AS VARCHAR) AS call_id FROM embeddings")
 def _(spark, d):
     reg = _agents(spark, d).withColumn("per_call_snr", F.transform("per_call_snr", lambda c: F.struct(c["_id"].alias("call_id"))))
     return evaluate.trained_ids(reg)

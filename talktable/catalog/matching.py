@@ -341,6 +341,5 @@ def _(spark, d):
 def _(spark, d):
     s = _timed_vectors(spark, d)
     own = matching.best_match(s, W.registry(spark, d)).withColumn("sim", F.coalesce("best_sim", F.lit(0.0)))
-    rich = own.groupBy("call_id").agg(F.count("embedding").alias("n")).where(F.col("n") >= 2).select("call_id")
-    out = cluster.cluster_first_roles(own.join(rich, "call_id", "left_semi"))
-    return out.select("call_id", "seg_idx", R6("sim").alias("sim"), "is_agent", "customer_idx")
+    out = cluster.cluster_first_roles(own)
+    return out.select("call_id", "seg_idx", R6("sim").alias("sim"), "is_agent", "customer_idx", "clustered")

@@ -300,9 +300,13 @@ def cluster_first_roles(segments: DataFrame, floor: float = 0.20, margin: float
     """Roles of whole calls from two clusters, corrected by similarity to the agent.
 
     ``segments`` has ``call_id, seg_idx, start_s, end_s, embedding, sim``. The cluster with the
-    higher mean similarity is the agent's. Adds ``is_agent`` and ``customer_idx`` (1-based).
+    higher mean similarity is the agent's. Adds ``is_agent``, ``customer_idx`` (1-based) and ``clustered``: calls with fewer than
+    two vectors are not clustered, and a similarity of ``likely`` makes a segment the agent's.
     """
     v = F.col("embedding")
+    small = segments.groupBy("call_id").agg(F.count("embedding").alias("__n")).where("__n < 2").select("call_id")
+    alone = segments.join(small, "call_id", "left_semi").withColumn("is_agent", F.coalesce(F.col("sim") >= likely, F.lit(False)))
+    segments = segments.join(small, "call_id", "left_anti")
     clustered = materialize(
         cluster_groups(segments.select("call_id", "seg_idx", "start_s", "end_s", "embedding", "sim"),
                        ["call_id"], 2, "seg_idx", group_rows)
@@ -337,7 +341,7 @@ def cluster_first_roles(segments: DataFrame, floor: float = 0.20, margin: float
     promote = (mine != agent) & (
         (F.col("sim") >= sure) | ((F.col("sim") >= likely) & has & (F.col("sim") > toward(mine)))
     )
-    return (
+    mixed = (
         segments.join(placed, ["call_id", "seg_idx"])
         .join(calls, "call_id")
         .withColumn("unit", l2_normalize(v))
@@ -345,6 +349,7 @@ def cluster_first_roles(segments: DataFrame, floor: float = 0.20, margin: float
             "is_agent",
             F.when(demote, False).when(promote, True).otherwise(mine == agent),
         )
-        .withColumn("customer_idx", F.when(~F.col("is_agent"), F.lit(1)))
         .drop("unit", "centres", "agent_cluster", "cluster")
     )
+    both = mixed.withColumn("clustered", F.lit(True)).unionByName(alone.withColumn("clustered", F.lit(False)))
+    return both.withColumn("customer_idx", F.when(~F.col("is_agent"), F.lit(1)))
