@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordered import number_rows, row_block, scan, sum_before
+from ..operators.ordered import cut_keys, number_rows, scan, sum_before
 from ..operators.vectors import centroids
 
 # start of the clock of the event table in microseconds; a millisecond of it plays a microsecond
@@ -51,8 +51,7 @@ def frames(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("call_id"), "event_id", F.col("value").alias("rms")
     )
-    # event ids rise with time, so blocks of ids are blocks of a call's frames
-    return number_rows(rows, ["call_id"], ["event_id"], row_block("event_id", 65536), "frame_idx").drop("event_id")
+    return number_rows(rows, ["call_id"], ["event_id"], cut_keys(rows, ["call_id"], "event_id"), "frame_idx").drop("event_id")
 
 
 def segments(spark, sf_dir) -> DataFrame:
@@ -63,7 +62,8 @@ def segments(spark, sf_dir) -> DataFrame:
         (F.length("role") / F.lit(10.0)).alias("gap"),
     )
     timed = scan(
-        rows, ["call_id"], ["seg_idx"], {"start_s": sum_before(F.col("dur") + F.col("gap"))}, row_block("seg_idx")
+        rows, ["call_id"], ["seg_idx"], {"start_s": sum_before(F.col("dur") + F.col("gap"))},
+        cut_keys(rows, ["call_id"], "seg_idx"),
     )
     return timed.select(
         "call_id", "seg_idx", "start_s", (F.col("start_s") + F.col("dur")).alias("end_s"), "text",

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import key_max, key_min, key_sum, running_sum, scan, value_block
+from .ordered import Cut, cut_keys, key_max, key_min, key_sum, running_sum, scan
 
 
 def value_ranks(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Distinct values per group with count ``cnt``, rows up to it ``upto`` and group size ``n``.
 
     The exact order statistics of a group follow from this table. Equal values are folded before
-    the shuffle and the running count goes block by block, so the group is never sorted as one.
+    the shuffle, and large groups are counted block by block.
     """
+    return _ranks(rows, by, value)[0]
+
+
+def _ranks(rows: DataFrame, by: list[str], value: str) -> tuple[DataFrame, Cut]:
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("cnt"))
-    return scan(
-        counts, by, [value], {"upto": running_sum(F.col("cnt")), "n": key_sum(F.col("cnt"))},
-        value_block(value),
-    )
+    cut = cut_keys(counts, by, value)
+    return scan(counts, by, [value], {"upto": running_sum(F.col("cnt")), "n": key_sum(F.col("cnt"))}, cut), cut
 
 
 def _at(value: str, position: Column) -> Column:
@@ -47,12 +49,12 @@ def percentiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, fl
 
 def estimate_snr(frames: DataFrame, by: list[str] = ["call_id"], least_frames: int = 8) -> DataFrame:
     """Dynamic range of the louder half of the frames in dB: 20·log10(p95 / p20)."""
-    ranks = value_ranks(frames, by, "rms")
+    ranks, cut = _ranks(frames, by, "rms")
     middle = F.ceil(F.lit(0.5) * (F.col("n") - 1))
     halves = scan(
         ranks, by, ["rms"],
         {"below": key_max(F.when(F.col("upto") <= middle, F.col("upto")))},
-        value_block("rms"),
+        cut,
     ).withColumn("below", F.coalesce("below", F.lit(0)))
     size = F.col("n") - F.col("below")
     speech = halves.groupBy(*by).agg(
@@ -70,11 +72,11 @@ def estimate_snr(frames: DataFrame, by: list[str] = ["call_id"], least_frames: i
 def speech_ratio(frames: DataFrame, by: list[str], factor: float = 1.5, floor: float = 0.005,
                  least_frames: int = 4) -> DataFrame:
     """Share of frames louder than ``max(factor · median, floor)``."""
-    ranks = value_ranks(frames, by, "rms")
+    ranks, cut = _ranks(frames, by, "rms")
     place = F.lit(0.5) * (F.col("n") - 1)
     at = lambda pos: key_min(F.when(F.col("upto") > pos, F.col("rms")))
     marked = scan(
-        ranks, by, ["rms"], {"lo": at(F.floor(place)), "hi": at(F.ceil(place))}, value_block("rms")
+        ranks, by, ["rms"], {"lo": at(F.floor(place)), "hi": at(F.ceil(place))}, cut
     )
     limit = F.greatest(F.lit(factor) * (F.col("lo") + F.col("hi")) / 2, F.lit(floor))
     loud = F.when(F.col("rms") > limit, F.col("cnt")).otherwise(F.lit(0))

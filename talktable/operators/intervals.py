@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import (
+    Cut,
     after,
     before,
+    cut_keys,
     max_before,
     previous,
     running_sum,
     scan,
     sum_before,
-    time_block,
 )
 
 BIN_SECONDS = 60.0
@@ -194,7 +195,7 @@ def near_customer(phrases: DataFrame, buffer_s: float) -> DataFrame:
         ["call_id"],
         ["__spot", "__kind", "phrase_idx"],
         {"__reach": max_before(F.when(~F.col("is_agent"), F.col("end_s")))},
-        time_block("__spot"),
+        cut_keys(placed, ["call_id"], "__spot"),
     )
     return (
         swept.where("is_agent")
@@ -253,7 +254,7 @@ def nearest_in_time(rows: DataFrame, label: str) -> DataFrame:
         ["call_id"],
         ["__mid", "__kind", "seg_idx"],
         {"__left": before(F.col("__ref")), "__right": after(F.col("__ref"))},
-        time_block("__mid"),
+        cut_keys(line, ["call_id"], "__mid"),
     ).where(F.col("__kind") == 1)
     gap = lambda side: F.abs(F.col("__mid") - F.col(f"{side}.mid"))
     left_wins = F.col("__right").isNull() | (
@@ -340,12 +341,13 @@ def merge_same_speaker(turns: DataFrame, gap_s: float = 0.5) -> DataFrame:
     The merged end is that of the last row, which may lie before an earlier row's end.
     """
     order = ["start_s", "turn_idx"]
+    cut = cut_keys(turns, ["call_id"], "start_s")
     linked = scan(
         turns,
         ["call_id"],
         order,
         {"__end": previous(F.col("end_s")), "__speaker": previous(F.col("speaker"))},
-        time_block("start_s"),
+        cut,
     )
     joins = (F.col("__speaker") == F.col("speaker")) & (F.col("start_s") - F.col("__end") <= gap_s)
     fresh = F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)
@@ -354,7 +356,7 @@ def merge_same_speaker(turns: DataFrame, gap_s: float = 0.5) -> DataFrame:
         ["call_id"],
         order,
         {"island": running_sum(F.col("__fresh"))},
-        time_block("start_s"),
+        cut,
     )
     return islands.groupBy("call_id", "island").agg(
         F.min_by("speaker", F.struct(*order)).alias("speaker"),
@@ -379,16 +381,13 @@ def merge_blocks(intervals: DataFrame, gap_s: float, pad_before: float = 0.0,
         F.greatest(F.lit(0.0), F.col("start_s") - pad_before).alias("start_s"),
         (F.least(end, F.col(limit_s)) if limit_s else end).alias("end_s"),
     )
-    reached = scan(
-        padded, by, ["start_s", "end_s"], {"__reach": max_before(F.col("end_s"))},
-        time_block("start_s"),
-    )
+    cut = cut_keys(padded, by, "start_s")
+    reached = scan(padded, by, ["start_s", "end_s"], {"__reach": max_before(F.col("end_s"))}, cut)
     gap = F.col("start_s") - F.col("__reach")
     joins = gap <= gap_s if inclusive else gap < gap_s
     marked = reached.withColumn("__fresh", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
     islands = scan(
-        marked, by, ["start_s", "end_s", "__reach"], {"block": running_sum(F.col("__fresh"))},
-        time_block("start_s"),
+        marked, by, ["start_s", "end_s", "__reach"], {"block": running_sum(F.col("__fresh"))}, cut,
     )
     return islands.groupBy(*by, "block").agg(
         F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"),
@@ -401,7 +400,7 @@ def remap_time(blocks: DataFrame) -> DataFrame:
     length = F.col("end_s") - F.col("start_s")
     return scan(
         blocks, ["call_id"], ["start_s", "block"], {"clean_start_s": sum_before(length)},
-        time_block("start_s"),
+        cut_keys(blocks, ["call_id"], "start_s"),
     ).withColumn("clean_end_s", F.col("clean_start_s") + length)
 
 
@@ -457,7 +456,7 @@ def fixed_chunks(spans: DataFrame, chunk_s: float, least_s: float) -> DataFrame:
 def group_words_by_speaker(words: DataFrame) -> DataFrame:
     """Consecutive words of one speaker become an utterance; ``words`` has ``word_idx, word``."""
     order = ["word_idx"]
-    block = F.floor(F.col("word_idx") / 4096).cast("bigint")
+    block = cut_keys(words, ["call_id"], "word_idx")
     linked = scan(words, ["call_id"], order, {"__speaker": previous(F.col("speaker"))}, block)
     fresh = F.when(F.col("__speaker").eqNullSafe(F.col("speaker")), 0).otherwise(1)
     islands = scan(
@@ -479,9 +478,9 @@ def group_words_by_speaker(words: DataFrame) -> DataFrame:
 
 
 def speaker_flips(turns: DataFrame, by: list[str] = ["call_id"], order: str = "turn_idx",
-                  block: Column | None = None) -> DataFrame:
+                  block: Column | Cut | None = None) -> DataFrame:
     """Speaker changes between neighbouring turns, with the number of turns."""
-    block = F.floor(F.col(order) / 4096).cast("bigint") if block is None else block
+    block = cut_keys(turns, by, order) if block is None else block
     linked = scan(turns, by, [order], {"__last": previous(F.col("speaker"))}, block)
     flip = (F.col("__last") != F.col("speaker")).cast("bigint")
     return linked.groupBy(*by).agg(
@@ -510,7 +509,7 @@ def number_customers(clusters: DataFrame, label: str = "cluster") -> DataFrame:
     first = clusters.groupBy("call_id", label).agg(F.min("start_s").alias("first_start_s"))
     numbered = scan(
         first, ["call_id"], ["first_start_s", label], {"nth": running_sum(F.lit(1).cast("bigint"))},
-        time_block("first_start_s"),
+        cut_keys(first, ["call_id"], "first_start_s"),
     )
     nth = F.col("nth").cast("string")
     return numbered.withColumn("display_speaker", F.concat(F.lit("Customer "), nth)).withColumn(

@@ -1,10 +1,11 @@
-"""Running values over the ordered rows of a key, without putting a whole key into one task.
-
-A plain ``Window.partitionBy(call)`` sends all rows of a call to one task. Here every key is cut
-into consecutive blocks. Values are computed inside the blocks in parallel, one summary row per
-block is carried from block to block, and the carried value is joined back on (key, block), which
-is how the rows are partitioned already. With ``block=None`` the plain window is used; that is
-only for callers that have checked the size of the largest key.
+"""Running values over the ordered rows of a key, without putting a huge key into one task.
+
+A plain ``Window.partitionBy(call)`` sends all rows of a call to one task and reads its input once. That is
+right for keys of up to ``KEY_ROWS`` rows. ``cut_keys`` counts the rows of each key first; those of larger keys are cut into
+consecutive blocks at sampled bounds, so that a block has at most ``KEY_ROWS`` rows wherever they lie. Values are computed inside the
+blocks in parallel, one summary row per block is carried from block to block, and the carried value is joined
+back on (key, block), which is how the rows are partitioned already. Rows with more equal positions
+than that stay together. A block may also be given as a column.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 BLOCK_ROWS = 4096
-BLOCK_SECONDS = 300.0
+#: rows of a key, or of a block of a larger key, that one task takes
+KEY_ROWS = 1_000_000
 
 _BLOCK = "__block"
 
@@ -81,19 +85,38 @@ def row_block(index: str, rows: int = BLOCK_ROWS) -> Column:
     return F.floor(F.col(index) / F.lit(float(rows))).cast("bigint")
 
 
-def time_block(seconds: str, width: float = BLOCK_SECONDS) -> Column:
-    return F.floor(F.col(seconds) / F.lit(float(width))).cast("bigint")
+@dataclass(frozen=True)
+class Cut:
+    """Blocks of the keys that are too large for one task: their ``position`` between the bounds of ``hot``, null without any."""
 
+    position: Column
+    hot: DataFrame | None
 
-def value_block(value: str) -> Column:
-    """Block of a non-negative measure: constant relative width, so no scale has to be known."""
-    v = F.col(value)
-    return F.when(v > 0, F.floor(F.log2(v) * 32)).otherwise(F.lit(-(1 << 20))).cast("bigint")
 
+def cut_keys(df: DataFrame, keys: list[str], position: str | Column) -> Cut:
+    """Count the rows of each key and choose bounds of ``position``, a number, for keys of more than ``KEY_ROWS``.
 
-def score_block(value: str, width: int = 2048) -> Column:
-    """Block of a similarity, highest values first."""
-    return F.floor((F.lit(1.0) - F.col(value)) * width).cast("bigint")
+    The bounds are percentiles of a sketch, twice as many as blocks are needed, so that its error stays inside a block's limit.
+    """
+    position = F.col(position) if isinstance(position, str) else position
+    rows = df.select(*keys, position.cast("double").alias("__position"))
+    large = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > KEY_ROWS)
+    largest = large.agg(F.max("__n")).first()[0]
+    if largest is None:
+        return Cut(position, None)
+    parts = -(-2 * largest // KEY_ROWS)
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    large = materialize(large)
+    of_large = rows.join(large.select(*[F.col(k).alias(f"__{k}") for k in keys]), _equal(keys), "left_semi")
+    bounds = of_large.groupBy(*keys).agg(F.percentile_approx("__position", shares, max(10_000, 20 * parts)).alias("__bounds"))
+    return Cut(position, materialize(bounds))
+
+
+def _equal(keys: list[str]) -> Column:
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"__{key}"))
+    return same
 
 
 def _columns(order) -> list[Column]:
@@ -105,19 +128,32 @@ def scan(
     keys: list[str],
     order: list,
     values: dict[str, Running],
-    block: Column | None,
+    block: Column | Cut | None,
 ) -> DataFrame:
     """Add one column per entry of ``values``.
 
     ``order`` must be ascending columns that order a key completely, and ``block`` must never
-    decrease along that order.
+    decrease along that order: a column, the cut of the keys by their first order column, or None for plain windows.
     """
     order = _columns(order)
-    if block is None:
+    if isinstance(block, Cut) and block.hot is not None:
+        return _scan_cut(df, keys, order, values, block)
+    if block is None or isinstance(block, Cut):
         return _scan_whole(df, keys, order, values)
     return _scan_blocks(df, keys, order, values, block)
 
 
+def _scan_cut(df, keys, order, values, cut):
+    """Plain windows for ordinary keys, blocks for the others."""
+    hot = cut.hot.select(*[F.col(k).alias(f"__{k}") for k in keys], "__bounds")
+    cold = _scan_whole(df.join(hot, _equal(keys), "left_anti"), keys, order, values)
+    rows = df.join(hot, _equal(keys)).withColumn(
+        "__at", F.size(F.filter("__bounds", lambda b: b < cut.position.cast("double")))
+    ).drop("__bounds", *[f"__{k}" for k in keys])
+    blocks = _scan_blocks(rows, keys, order, values, F.col("__at")).drop("__at")
+    return cold.unionByName(blocks.select(*cold.columns))
+
+
 def _windows(keys: list[str], order: list[Column]):
     ahead = Window.partitionBy(*keys).orderBy(*order)
     back = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order])
@@ -253,7 +289,7 @@ def _scan_blocks(df, keys, order, values, block):
     return both.select(*kept, *final)
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list, block: Column | None,
+def number_rows(df: DataFrame, keys: list[str], order: list, block: Column | Cut | None,
                 name: str = "idx") -> DataFrame:
     """Dense 0-based position of every row within its key."""
     return scan(df, keys, order, {name: sum_before(F.lit(1).cast("bigint"))}, block)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import phrases
 from ..functions.text import keyword_hits
 from ..functions.times import clean_agent_name
-from .ordered import key_sum, row_block, running_sum, scan, sum_before, time_block
+from .ordered import cut_keys, key_sum, running_sum, scan, sum_before
 from .vectors import centroids
 
 def _length() -> Column:
@@ -132,7 +132,7 @@ def speaker_centroids(segments: DataFrame, least_s: float = 0.5, enough_s: float
         usable = usable.where(F.col("embedding").isNotNull())
     spent = scan(
         usable, ["call_id", "speaker"], ["seg_idx"], {"__spent": sum_before(_length())},
-        row_block("seg_idx"),
+        cut_keys(usable, ["call_id", "speaker"], "seg_idx"),
     )
     return centroids(spent.where(F.col("__spent") < enough_s), ["call_id", "speaker"])
 
@@ -302,12 +302,13 @@ def label_roles(segments: DataFrame, threshold: float = 0.25) -> DataFrame:
     )
     agents = winners.unionByName(lone).withColumnRenamed("agent", "won")
     one = F.lit(1).cast("bigint")
+    sides = labels.join(agents, ["call_id", "label"], "left").withColumn("customer", F.col("won").isNull())
     roles = scan(
-        labels.join(agents, ["call_id", "label"], "left").withColumn("customer", F.col("won").isNull()),
+        sides,
         ["call_id", "customer"],
         ["first_start_s", "label"],
         {"nth": running_sum(one), "of": key_sum(one)},
-        time_block("first_start_s"),
+        cut_keys(labels, ["call_id"], "first_start_s"),
     )
     customers, nth = F.col("customer"), F.col("nth").cast("string")
     many = F.col("of") > 1

@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .intervals import labels_at_ticks
-from .ordered import before, following, max_before, scan
-
-#: ticks of one block of a call's running values
-BLOCK_TICKS = 600.0
+from .ordered import before, cut_keys, following, max_before, scan
 
 
 def tick_accuracy(ticks: DataFrame, digits: int = 4, weight: Column | None = None) -> DataFrame:
@@ -43,9 +40,9 @@ def label_pieces(intervals: DataFrame, label: str, index: str, step: float = 0.5
         F.ceil(F.greatest(F.col("start_s"), F.lit(0.0)) / F.lit(step)).cast("bigint").alias("first"),
         F.floor(F.col("end_s") / F.lit(step)).cast("bigint").alias("last"),
     ).where(F.col("last") >= F.col("first"))
-    # equal starts share a block; an index that falls back shows in the order of (first, index)
+    # an index that falls back shows in the order of (first, index)
     seen = scan(rows, ["call_id"], ["first", "__i"], {"ended": max_before(F.col("last")), "highest": max_before(F.col("__i"))},
-                F.floor(F.col("first") / BLOCK_TICKS).cast("bigint"))
+                cut_keys(rows, ["call_id"], "first"))
     mixed = seen.where(F.col("highest") > F.col("__i")).select("call_id").distinct()
     ranges = seen.withColumn("first", F.greatest("first", F.coalesce(F.col("ended") + 1, F.col("first")))).where(
         F.col("last") >= F.col("first")
@@ -75,7 +72,7 @@ def joint_ticks(truth: DataFrame, ours: DataFrame) -> DataFrame:
     )
     carried = scan(at, ["call_id"], ["tick"], {
         "truth_before": before(F.col("truth")), "ours_before": before(F.col("ours")), "until": following(F.col("tick")),
-    }, F.floor(F.col("tick") / BLOCK_TICKS).cast("bigint"))
+    }, cut_keys(at, ["call_id"], "tick"))
     now = lambda side: F.coalesce(F.col(side), F.col(f"{side}_before"), F.lit(0))
     return carried.select(
         "call_id", (now("truth") == 2).alias("truth"), (now("ours") == 2).alias("ours"),

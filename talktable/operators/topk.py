@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import running_sum, scan, score_block
+from .ordered import cut_keys, running_sum, scan
 
 
 def _ranked_values(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Distinct values of each group with their count and the rows at or above them."""
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("__n"))
     return scan(
-        counts, by, [F.col(value) * -1], {"__upto": running_sum(F.col("__n"))}, score_block(value)
+        counts, by, [F.col(value) * -1], {"__upto": running_sum(F.col("__n"))}, cut_keys(counts, by, F.col(value) * -1)
     )
 
 
@@ -21,7 +21,7 @@ def top_fraction_mean(scores: DataFrame, by: list[str], value: str, fraction: fl
     """Mean of the best ``max(least, floor(fraction * n))`` values of each group.
 
     Equal values are counted first, so a hot group shrinks before the shuffle, and the running
-    count over distinct values is taken block by block; no group is sorted in one task.
+    count over the distinct values of a large group is taken block by block.
     """
     ranked = _ranked_values(scores, by, value)
     sizes = scores.groupBy(*by).agg(F.count("*").alias("n"))
@@ -47,6 +47,6 @@ def keep_top(rows: DataFrame, by: list[str], value: str, take: str, order: list[
         by,
         [F.col(value) * -1, *order],
         {"__rank": running_sum(F.lit(1).cast("bigint"))},
-        score_block(value),
+        cut_keys(rows, by, F.col(value) * -1),
     )
     return ranked.where(F.col("__rank") <= F.col(take)).drop("__rank")
