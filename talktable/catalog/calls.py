@@ -238,6 +238,35 @@ def _(spark, d):
     return X.transcript_lines(s)
 
 
+_CLOCK = "lpad(CAST(CAST(floor({0}) AS BIGINT) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor({0}) AS BIGINT) % 60 AS VARCHAR), 2, '0')"
+
+
+@query("split_view", sql(f"""
+    WITH s AS (SELECT call_id, seg_idx, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, identified_speaker AS role, trim(text) AS text, length(text) / 1000e0 AS c FROM v_segments WHERE trim(text) <> ''),
+    x AS (SELECT *, CASE WHEN role = 'AGENT' THEN 'agent' ELSE 'customer' END AS side, '[' || {_CLOCK.format('start_s')} || '-' || {_CLOCK.format('end_s')} || '] ' || text AS line FROM s),
+    h AS (SELECT call_id, side, avg(c) AS c, count(*) AS n, string_agg(line, chr(10) ORDER BY start_s, seg_idx) AS text FROM x GROUP BY ALL),
+    k AS (SELECT DISTINCT call_id, unnest(['agent', 'customer']) AS side FROM v_segments)
+    SELECT call_id, side, CASE WHEN side = 'agent' AND n > 0 THEN 'AGENT' END AS speaker, CASE WHEN side = 'agent' THEN round(c, 6) END AS confidence, coalesce(n, 0) AS n_lines,
+           coalesce(text, '(no ' || side || ' segments detected)') AS text FROM k LEFT JOIN h USING (call_id, side)""", "v_segments"))
+def _(spark, d):
+    s = W.segments(spark, d).withColumns({
+        "display_speaker": F.lit(None).cast("string"), "agent_name": F.lit(""), "confidence": F.length("text") / 1000.0,
+        "start_s": F.round("start_s", 6), "end_s": F.round("end_s", 6)})
+    return X.split_view(s).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("word_scores", sql("""
+    WITH w AS (SELECT call_id, seg_idx, unnest(string_split(text, ' ')) AS word FROM v_segments)
+    SELECT s.call_id, s.seg_idx, m.avg_score FROM v_segments s LEFT JOIN (
+      SELECT call_id, seg_idx, round(avg(length(word) / 16e0) FILTER (length(word) > 9), 3) AS avg_score FROM w GROUP BY ALL) m USING (call_id, seg_idx)""", "v_segments"))
+def _(spark, d):
+    """Only words of over nine letters have a score."""
+    s = W.segments(spark, d).select("call_id", "seg_idx", "text")
+    words = s.select("call_id", "seg_idx", F.explode(F.split("text", " ")).alias("word"))
+    scored = words.select("call_id", "seg_idx", F.when(F.length("word") > 9, F.length("word") / 16.0).alias("score"))
+    return X.word_scores(s, scored).select("call_id", "seg_idx", "avg_score")
+
+
 @query("result_documents", sql("""
     SELECT call_id || '__base' AS run_id, count(*) AS n_segments, round(sum(end_s - start_s), 4) AS seconds, min_by(text, seg_idx) AS first_text
     FROM v_segments GROUP BY call_id""", "v_segments"))

@@ -276,13 +276,31 @@ def _(spark, d):
     return roles.agent_speaker(W.segments(spark, d), regions, one, 0.05)
 
 
+# measures of a clip from its vector, so that every check drops some
+_CLIPS = """
+    clips AS (SELECT *, 1 + 100 * abs(embedding[1]) AS duration_s, -200 * abs(embedding[2]) AS rms_dbfs, 2 * abs(embedding[3]) AS flatness, 30 + 100 * embedding[4] AS snr_db FROM v_vectors),
+    checked AS (SELECT *, CASE WHEN duration_s < 1.5e0 THEN 'too short' WHEN duration_s > 20 THEN 'too long' WHEN rms_dbfs < -40 THEN 'too quiet'
+                  WHEN flatness > 0.6e0 THEN 'too noisy' WHEN snr_db < 10 THEN 'low SNR' ELSE '' END AS reason FROM clips),
+    v_kept AS (SELECT * FROM checked WHERE reason = ''),
+    sums AS (SELECT agent_slug, list(x ORDER BY pos) AS m FROM (SELECT agent_slug, pos, avg(x) AS x FROM (
+               SELECT agent_slug, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM v_kept) GROUP BY ALL) GROUP BY 1),
+    v_middle AS (SELECT agent_slug, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS embedding FROM sums),
+    offered AS (SELECT agent_slug, sum(n) AS n_clips, string_agg(reason || '=' || n, ',' ORDER BY reason) FILTER (reason <> '') AS reasons FROM (
+                  SELECT agent_slug, reason, count(*) AS n FROM checked GROUP BY ALL) GROUP BY 1)"""
+
+
 @query("clean_extract", sql(
-    _ONCE.format(ok="v.sim >= 0.1e0", least=1).replace("SELECT agent_slug, max(n) AS n,", "SELECT agent_slug, avg(cos) < 0.25e0 AS low_cohesion, max(n) AS n,"),
+    _ONCE.format(ok="v.sim >= 0.1e0", least=1).replace("SELECT agent_slug, max(n) AS n,", "SELECT agent_slug, avg(cos) < 0.25e0 AS low_cohesion, CAST(max(n_clips) AS BIGINT) AS n_clips, max(reasons) AS reasons, max(n) AS n,")
+    .replace("v_vectors", "v_kept").replace("v_registry", "v_middle").replace("FROM f GROUP BY", "FROM f JOIN offered USING (agent_slug) GROUP BY")
+    .replace("WITH s AS", f"WITH {_CLIPS}, s AS"),
     "v_vectors", "v_registry"))
 def _(spark, d):
-    clips = W.vectors(spark, d).withColumn("reason", F.lit("")).withColumnRenamed("vec_id", "clip_id")
+    at = lambda i: F.get("embedding", F.lit(i))
+    clips = W.vectors(spark, d).withColumnRenamed("vec_id", "clip_id").withColumns({
+        "duration_s": 1 + 100 * F.abs(at(0)), "rms_dbfs": -200 * F.abs(at(1)), "flatness": 2 * F.abs(at(2)), "snr_db": 30 + 100 * at(3)})
     out = enrol.clean_extract(clips, 0.1, 0.25)
-    return out.select("agent_slug", "low_cohesion", "n", "n_used", "relaxed", *R("mean_cosine", "min_cosine", "max_cosine"))
+    reasons = F.array_join(F.transform("reasons", lambda r: F.concat_ws("=", r["reason"], r["n"])), ",")
+    return out.select("agent_slug", "low_cohesion", "n_clips", reasons.alias("reasons"), "n", "n_used", "relaxed", *R("mean_cosine", "min_cosine", "max_cosine"))
 
 
 def _enrolment(spark, d):
@@ -301,6 +319,15 @@ def _(spark, d):
     return out.select("agent_slug", "bucket", "vp_idx", "n_clips", F.size("embedding").alias("dim"), *R("inside", "max_outside_sim"), "snr_db", "used_calls")
 
 
+@query("enrol_registry")
+def _(spark, d):
+    """Agents that were enrolled replace what the registry had of them, others stay."""
+    old = W.registry(spark, d).withColumn("source", F.lit("old"))
+    fresh = enrol.enrol_agents(*_enrolment(spark, d), first=0.10, second=0.15, gate={"least_seconds": 20.0, "least_windows": 20, "bucket_windows": 10})
+    out = enrol.update_registry(old, fresh, "new")
+    return out.select("agent_slug", "path", "bucket", "vp_idx", "n_clips", F.size("embedding").alias("dim"), *R("mean_inside_sim", "max_outside_sim"), "source")
+
+
 @query("enrol_agents_strict")
 def _(spark, d):
     calls, phrases, frames, vectors = _enrolment(spark, d)

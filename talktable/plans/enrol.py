@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.vectors import snr_bucket
 from ..operators.cluster import GROUP_ROWS, voiceprint_centroids
 from ..operators.evaluate import calls_per_agent
-from ..operators.frames import enrolment_gate, estimate_snr
+from ..operators.frames import clip_quality, enrolment_gate, estimate_snr
 from ..operators.intervals import purity_filter
 from ..operators.vectors import drop_outliers_once, tighten
+from ..sources.registry import upsert_registry
 from ..storage import materialize
 
 
@@ -80,12 +81,31 @@ def enrol_agents(
     )
 
 
-def clean_extract(clips: DataFrame, threshold: float, cohesive: float = 0.65) -> DataFrame:
+def update_registry(old: DataFrame, enrolled: DataFrame, source: str) -> DataFrame:
+    """The registry after an enrolment: agents of ``enrolled`` (from :func:`enrol_agents`) replace all their old voiceprints.
+
+    ``old`` has the columns of the result: ``agent_slug, path, bucket, vp_idx, n_clips, snr_db, embedding, mean_inside_sim,
+    max_outside_sim, source``; of an older registry some may be missing and are null.
+    """
+    new = enrolled.select(
+        "agent_slug", F.concat_ws("/", "agent_slug", "bucket", F.col("vp_idx").cast("string")).alias("path"), "bucket", "vp_idx", "n_clips", "snr_db",
+        "embedding", F.col("inside").alias("mean_inside_sim"), "max_outside_sim", F.lit(source).alias("source"),
+    )
+    for field in new.schema.fields:
+        if field.name not in old.columns:
+            old = old.withColumn(field.name, F.lit(None).cast(field.dataType))
+    return upsert_registry(old.select(*new.columns), new)
+
+
+def clean_extract(clips: DataFrame, threshold: float, cohesive: float = 0.65, **limits) -> DataFrame:
     """Registry rows from single clips: quality checks, outliers dropped once, cohesion flag.
 
-    ``clips`` has ``agent_slug, clip_id, reason`` (empty for clips that passed) and ``embedding``.
+    ``clips`` has ``agent_slug, clip_id, embedding`` and what :func:`clip_quality` looks at: ``duration_s, rms_dbfs, flatness,
+    snr_db``; ``limits`` are its limits. ``n_clips`` were offered, and ``reasons`` counts those that failed by reason.
     """
-    passed = clips.where(F.col("reason") == "")
-    groups = drop_outliers_once(passed, ["agent_slug"], ["clip_id"], threshold)
-    offered = clips.groupBy("agent_slug").agg(F.count("*").alias("n_clips"))
+    checked = clips.withColumn("reason", clip_quality(F.col("duration_s"), F.col("rms_dbfs"), F.col("flatness"), F.col("snr_db"), **limits))
+    groups = drop_outliers_once(checked.where(F.col("reason") == ""), ["agent_slug"], ["clip_id"], threshold)
+    counts = checked.groupBy("agent_slug", "reason").agg(F.count("*").alias("n"))
+    failed = F.filter(F.sort_array(F.collect_list(F.struct("reason", "n"))), lambda r: r["reason"] != "")
+    offered = counts.groupBy("agent_slug").agg(F.sum("n").alias("n_clips"), failed.alias("reasons"))
     return groups.join(offered, "agent_slug").withColumn("low_cohesion", F.col("mean_cosine") < cohesive)

@@ -177,6 +177,44 @@ def transcript_lines(segments: DataFrame, header: DataFrame | None = None) -> Da
     return lines.unionByName(top)
 
 
+def split_view(segments: DataFrame) -> DataFrame:
+    """The two sides of a call apart: (call_id, side, speaker, confidence, n_lines, text), one row for each side of every call.
+
+    The agent's side are segments whose role is an agent's (``AGENT``, ``Agent`` or a slug ``agent_…``), all others are the
+    customer's. Lines are ``[mm:ss-mm:ss] text`` by start, segments without text are left out. The agent's side names the
+    speaker of its first line and the mean confidence; a side without lines says so.
+    """
+    role = F.coalesce("identified_speaker", "speaker", F.lit("Unknown"))
+    agent = role.isin("AGENT", "Agent") | role.startswith("agent_")
+    said = F.trim(F.coalesce("text", F.lit("")))
+    line = F.concat(F.lit("["), clock_minutes(F.col("start_s")), F.lit("-"), clock_minutes(F.col("end_s")), F.lit("] "), said)
+    name = F.coalesce(F.nullif(F.col("display_speaker"), F.lit("")), F.nullif(F.col("agent_name"), F.lit("")), role)
+    rows = segments.select(
+        "call_id", F.when(agent, "agent").otherwise("customer").alias("side"), F.col("start_s"), F.col("seg_idx"), line.alias("line"),
+        name.alias("name"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), said.alias("said"),
+    )
+    order = F.struct("start_s", "seg_idx")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_s", "seg_idx", "line"))), lambda x: x["line"]), "\n")
+    held = rows.where("said <> ''").groupBy("call_id", "side").agg(
+        F.min_by("name", order).alias("speaker"), F.avg("confidence").alias("confidence"), F.count("*").alias("n_lines"), text.alias("text")
+    )
+    sides = rows.select("call_id").distinct().select("call_id", F.explode(F.array(F.lit("agent"), F.lit("customer"))).alias("side"))
+    named = lambda c: F.when(F.col("side") == "agent", F.col(c)).alias(c)
+    return sides.join(held, ["call_id", "side"], "left").select(
+        "call_id", "side", named("speaker"), named("confidence"), F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"),
+        F.coalesce("text", F.concat(F.lit("(no "), F.col("side"), F.lit(" segments detected)"))).alias("text"),
+    )
+
+
+def word_scores(segments: DataFrame, words: DataFrame) -> DataFrame:
+    """``segments`` with ``avg_score``: mean ``score`` of their words to three digits, null where no word has one.
+
+    ``words`` has ``call_id, seg_idx, score``.
+    """
+    means = words.groupBy("call_id", "seg_idx").agg(F.round(F.avg("score"), 3).alias("avg_score"))
+    return segments.drop("avg_score").join(means, ["call_id", "seg_idx"], "left")
+
+
 def write_transcript_text(lines: DataFrame, path: str) -> None:
     """One folder per call with its lines in order."""
     lines.repartition("call_id").sortWithinPartitions("call_id", "line_no").select("call_id", "line").write.mode(
