@@ -2,7 +2,7 @@
 
 One model per group is needed, so a single global model does not fit. Groups up to
 ``GROUP_ROWS`` vectors are clustered inside a task; larger ones by Lloyd steps written as joins
-and partial aggregates, with the same starting points and the same rules.
+and partial aggregates, with the same starting points, the same draws and the same rules.
 """
 
 from __future__ import annotations
@@ -35,19 +35,46 @@ def _start_points(x: np.ndarray, k: int) -> np.ndarray:
     return x[chosen].copy()
 
 
-def kmeans_labels(x: np.ndarray, k: int) -> np.ndarray:
-    """Lloyd on unit rows in their given order until no label changes; an emptied cluster keeps its centre."""
-    if k <= 1 or len(x) <= k:
-        return np.zeros(len(x), dtype=np.int64)
-    centres, labels = _start_points(x, k), None
+def _drawn_points(x: np.ndarray, k: int, races: np.ndarray) -> np.ndarray:
+    """k-means++: each further row is drawn with its squared distance from the points chosen so far as weight.
+
+    ``races`` has an exponential number per row and point; the row of the smallest number over weight wins, which is a draw
+    by weight that needs only a minimum.
+    """
+    chosen = [int(np.argmin(races[:, 0]))]
+    for c in range(1, k):
+        weight = np.maximum(2 - 2 * (x @ x[chosen].T).max(axis=1), 0.0)
+        with np.errstate(divide="ignore"):
+            chosen.append(int(np.argmin(races[:, c] / np.where(weight > 1e-12, weight, 0.0))))
+    return x[chosen].copy()
+
+
+def _lloyd(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, float]:
+    """Labels when none changes any more, and the sum of squared distances; an emptied cluster keeps its centre."""
+    labels = None
     while True:
-        new = np.argmin((centres**2).sum(axis=1) - 2 * (x @ centres.T), axis=1)
+        costs = (centres**2).sum(axis=1) - 2 * (x @ centres.T)
+        new = np.argmin(costs, axis=1)
         if labels is not None and (new == labels).all():
-            break
+            return labels, float((1 + costs[np.arange(len(x)), new]).sum())
         labels = new
-        for c in range(k):
+        for c in range(len(centres)):
             if (labels == c).any():
                 centres[c] = x[labels == c].mean(axis=0)
+
+
+def kmeans_labels(x: np.ndarray, k: int, races: np.ndarray | None = None) -> np.ndarray:
+    """Best labels of unit rows in their given order over the fixed start and one start for each ``k`` columns of ``races``.
+
+    The smallest sum of squared distances wins, to nine digits, the earlier start on a tie.
+    """
+    if k <= 1 or len(x) <= k:
+        return np.zeros(len(x), dtype=np.int64)
+    labels, cost = _lloyd(x, _start_points(x, k))
+    for at in range(0, 0 if races is None else races.shape[1], k):
+        tried, found = _lloyd(x, _drawn_points(x, k, races[:, at:at + k]))
+        if round(found, 9) < round(cost, 9):
+            labels, cost = tried, found
     return labels
 
 
@@ -85,16 +112,27 @@ def choose_labels(x: np.ndarray, most: int = 3, gain: float = 0.05) -> np.ndarra
     return labels
 
 
-def _in_tasks(vectors: DataFrame, by: list[str], order: str, label) -> DataFrame:
+def _race(order: str, start: int, point: int) -> Column:
+    """Exponential number of a row for one point of one start, from a hash of its order value."""
+    h = F.xxhash64(F.col(order).cast("bigint"), F.lit(start).cast("bigint"), F.lit(point).cast("bigint"))
+    return -F.log((F.shiftrightunsigned(h, 11).cast("double") + 1) / float(1 << 53))
+
+
+def _in_tasks(vectors: DataFrame, by: list[str], order: str, label, starts: int = 0, k: int = 0) -> DataFrame:
     schema = T.StructType(vectors.schema.fields + [T.StructField("cluster", T.LongType())])
+    names, drawn = schema.names, starts * k > 0
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order, kind="stable")
         x = np.stack([np.asarray(v, dtype=np.float64) for v in group["embedding"]])
         length = np.linalg.norm(x, axis=1, keepdims=True)
-        return group.assign(cluster=label(x / np.where(length > 0, length, 1.0)))
+        x = x / np.where(length > 0, length, 1.0)
+        found = label(x, np.stack(group["__races"].tolist())) if drawn else label(x)
+        return group.assign(cluster=found)[names]
 
-    return vectors.groupBy(*by).applyInPandas(run, schema)
+    races = [_race(order, s, c) for s in range(starts) for c in range(k)]
+    rows = vectors.withColumn("__races", F.array(*races)) if drawn else vectors
+    return rows.groupBy(*by).applyInPandas(run, schema)
 
 
 # --- large groups across the cluster -------------------------------------------------------------
@@ -114,7 +152,12 @@ def _assign(unit: DataFrame, centres: DataFrame, by: list[str]) -> DataFrame:
     return unit.join(centres, by).withColumn("cluster", F.array_min(costs)["cluster"]).drop("centres")
 
 
-def _lloyd_across(unit: DataFrame, by: list[str], order: str, k: int) -> DataFrame:
+def _grown(centres: DataFrame, more: DataFrame, by: list[str], number: int) -> DataFrame:
+    held = centres.select(*by, F.explode("centres").alias("c")).select(*by, "c.*")
+    return _centre_table(held.unionByName(more.withColumn("cluster", F.lit(number).cast("bigint"))), by)
+
+
+def _fixed_start(unit: DataFrame, by: list[str], order: str, k: int) -> DataFrame:
     v = F.col("embedding")
     mean = materialize(unit.groupBy(*by).agg(mean_vector(v).alias("__mean")))
     pick = F.min_by("embedding", F.struct("__like", order))
@@ -124,11 +167,26 @@ def _lloyd_across(unit: DataFrame, by: list[str], order: str, k: int) -> DataFra
     centres = _centre_table(first.withColumn("cluster", F.lit(0).cast("bigint")), by)
     for c in range(1, k):
         like = F.array_max(F.transform("centres", lambda x: dot(v, x["centre"])))
-        far = unit.join(centres, by).withColumn("__like", like).groupBy(*by).agg(pick.alias("centre"))
-        grown = centres.select(*by, F.explode("centres").alias("c")).select(*by, "c.*").unionByName(
-            far.withColumn("cluster", F.lit(c).cast("bigint"))
-        )
-        centres = _centre_table(grown, by)
+        centres = _grown(centres, unit.join(centres, by).withColumn("__like", like).groupBy(*by).agg(pick.alias("centre")), by, c)
+    return centres
+
+
+def _drawn_start(unit: DataFrame, by: list[str], order: str, k: int, start: int) -> DataFrame:
+    """The same draws as in a task: a minimum for each point, with partial results."""
+    v = F.col("embedding")
+    pick = F.min_by("embedding", F.struct("__race", order)).alias("centre")
+    first = unit.withColumn("__race", _race(order, start, 0)).groupBy(*by).agg(pick)
+    centres = _centre_table(first.withColumn("cluster", F.lit(0).cast("bigint")), by)
+    for c in range(1, k):
+        weight = 2 - 2 * F.array_max(F.transform("centres", lambda x: dot(v, x["centre"])))
+        race = F.when(weight > 1e-12, _race(order, start, c) / weight).otherwise(F.lit(float("inf")))
+        centres = _grown(centres, unit.join(centres, by).withColumn("__race", race).groupBy(*by).agg(pick), by, c)
+    return centres
+
+
+def _settled(unit: DataFrame, by: list[str], centres: DataFrame) -> DataFrame:
+    """Centres after Lloyd steps until none moves."""
+    v = F.col("embedding")
     while True:
         means = _assign(unit, centres, by).groupBy(*by, "cluster").agg(mean_vector(v).alias("__new"))
         old = centres.select(*by, F.explode("centres").alias("c")).select(*by, "c.*")
@@ -145,8 +203,21 @@ def _lloyd_across(unit: DataFrame, by: list[str], order: str, k: int) -> DataFra
         ).isEmpty()
         centres = new
         if still:
-            break
-    return _assign(unit, centres, by)
+            return centres
+
+
+def _lloyd_across(unit: DataFrame, by: list[str], order: str, k: int, starts: int = 0) -> DataFrame:
+    tried = [_settled(unit, by, _fixed_start(unit, by, order, k))]
+    tried += [_settled(unit, by, _drawn_start(unit, by, order, k, s)) for s in range(starts)]
+    if not starts:
+        return _assign(unit, tried[0], by)
+    v, every = F.col("embedding"), None
+    for s, centres in enumerate(tried):
+        near = F.array_min(F.transform("centres", lambda c: 1 + dot(c["centre"], c["centre"]) - 2 * dot(v, c["centre"])))
+        costs = unit.join(centres, by).groupBy(*by).agg(F.round(F.sum(near), 9).alias("__cost")).join(centres, by).withColumn("__start", F.lit(s))
+        every = costs if every is None else every.unionByName(costs)
+    best = materialize(every.groupBy(*by).agg(F.min_by("centres", F.struct("__cost", "__start")).alias("centres")))
+    return _assign(unit, best, by)
 
 
 def _silhouette_across(labelled: DataFrame, by: list[str]) -> DataFrame:
@@ -203,16 +274,18 @@ def _by_size(vectors: DataFrame, by: list[str], group_rows: int, small, large) -
 
 
 def cluster_groups(vectors: DataFrame, by: list[str], k: int = 2, order: str = "seg_idx",
-                   group_rows: int = GROUP_ROWS) -> DataFrame:
+                   group_rows: int = GROUP_ROWS, starts: int = 0) -> DataFrame:
     """Add ``cluster`` 0…k-1 per group; rows without a vector are left out.
 
-    ``order`` must be unique within a group: it breaks ties, so results do not depend on how the
-    rows are partitioned.
+    ``order``, a whole number, must be unique within a group: it breaks ties and seeds the draws, so results do not depend
+    on how the rows are partitioned. Besides the fixed start ``starts`` k-means++ starts are tried, and the smallest sum of squared
+    distances is kept.
     """
+    # a group of at most k vectors is one cluster, which a task sees
     return _by_size(
-        vectors, by, group_rows,
-        lambda rows: _in_tasks(rows, by, order, lambda x: kmeans_labels(x, k)),
-        lambda rows: _lloyd_across(rows, by, order, k),
+        vectors, by, max(group_rows, k),
+        lambda rows: _in_tasks(rows, by, order, lambda x, races=None: kmeans_labels(x, k, races), starts, k),
+        lambda rows: _lloyd_across(rows, by, order, k, starts),
     )
 
 
@@ -249,8 +322,8 @@ def two_speaker_split(segments: DataFrame, group_rows: int = GROUP_ROWS) -> Data
 
 def voiceprint_centroids(vectors: DataFrame, by: list[str], order: str, most: int = 2,
                          per_cluster: int = 30, unit: bool = True,
-                         group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Voiceprints per group: ``max(1, min(most, n / per_cluster))`` clusters, one centroid each."""
+                         group_rows: int = GROUP_ROWS, starts: int = 4) -> DataFrame:
+    """Voiceprints per group: ``max(1, min(most, n / per_cluster))`` clusters, the best of several starts, one centroid each."""
     sizes = materialize(
         vectors.where(F.col("embedding").isNotNull()).groupBy(*by).agg(F.count("*").alias("__n"))
         .withColumn("__k", F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("__n") / per_cluster))).cast("int"))
@@ -263,7 +336,7 @@ def voiceprint_centroids(vectors: DataFrame, by: list[str], order: str, most: in
     ]
     for k in range(2, most + 1):
         wide = vectors.join(sizes.where(F.col("__k") == k).select(*by), by, "left_semi")
-        parts.append(cluster_groups(wide, by, k, order, group_rows))
+        parts.append(cluster_groups(wide, by, k, order, group_rows, starts))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
