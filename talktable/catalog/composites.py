@@ -52,7 +52,26 @@ def _(spark, d):
 
 @query("identify_summary")
 def _(spark, d):
-    return identify.identify_calls(_segments(spark, d), _registry(spark, d), FITTED)[1]
+    calls = identify.identify_calls(_segments(spark, d), _registry(spark, d), FITTED)[1]
+    speakers = F.array_join(F.transform("per_speaker", lambda p: F.concat_ws(":", p["speaker"], p["turns"], F.format_string("%.2f", p["seconds"]))), ",")
+    return calls.withColumn("per_speaker", speakers)
+
+
+# agents of odd labels have voiceprints of 16 components only, and every third segment no vector of 64
+@query("choose_dimension", sql("""
+    WITH p AS (SELECT agent_slug, CASE WHEN CAST(replace(agent_slug, 'agent_', '') AS INT) % 2 = 1 THEN embedding[1:16] ELSE embedding END AS r FROM v_registry),
+    s AS (SELECT v.call_id, p.agent_slug, len(r) AS dim, list_cosine_similarity(v.embedding[1:len(r)], r) AS sim FROM v_vectors v, p WHERE len(r) = 16 OR v.seg_idx % 3 > 0),
+    t AS (SELECT *, row_number() OVER (PARTITION BY call_id, agent_slug ORDER BY sim DESC) AS rn, count(*) OVER (PARTITION BY call_id, agent_slug) AS n FROM s),
+    m AS (SELECT call_id, agent_slug, dim, avg(sim) FILTER (rn <= greatest(5, floor(n * CAST(0.3 AS DOUBLE)))) AS score FROM t GROUP BY ALL)
+    SELECT call_id, agent_slug, dim AS matched_dim, round(score, 6) AS score FROM (
+      SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY round(score, 9) DESC, agent_slug) AS rn FROM m) WHERE rn = 1""", "v_vectors", "v_registry"))
+def _(spark, d):
+    odd = F.regexp_extract("agent_slug", r"(\d+)$", 1).cast("int") % 2 == 1
+    registry = W.registry(spark, d).withColumn("embedding", F.when(odd, F.slice("embedding", 1, 16)).otherwise(F.col("embedding")))
+    short = F.slice("embedding", 1, 16)
+    both = F.map_from_arrays(F.array(F.lit(16), F.lit(64)), F.array(short, F.when(F.col("seg_idx") % 3 > 0, F.col("embedding"))))
+    out = identify.choose_dimension(W.vectors(spark, d).withColumn("embeddings", both), registry)
+    return out.select("call_id", "agent_slug", F.col("matched_dim").cast("bigint").alias("matched_dim"), *R("score"))
 
 
 @query("soft_reclaim")

@@ -55,6 +55,24 @@ def rank_agents(scored: DataFrame) -> DataFrame:
     )
 
 
+def choose_dimension(segments: DataFrame, registry: DataFrame, registry_bytes: int = REGISTRY_BYTES) -> DataFrame:
+    """(call_id, agent_slug, matched_dim, score): the best agent of each call over vectors of several dimensions.
+
+    ``embeddings`` of a segment maps a dimension to its vector of that length; null, missing and wrongly long ones do not
+    count. An agent is scored on the segments that have a vector of its voiceprints' dimension, so the dimension of the best agent is
+    the call's. Ties go to the first slug, then to the smaller dimension. Calls without any comparable vector get no row.
+    """
+    vectors = segments.select("call_id", "seg_idx", F.explode("embeddings").alias("matched_dim", "embedding")).where(
+        F.col("embedding").isNotNull() & (F.size("embedding") == F.col("matched_dim"))
+    )
+    scored = score_vectors(vectors, registry, registry_bytes=registry_bytes)
+    long = scored.select("call_id", "matched_dim", F.explode("scores").alias("s")).select("call_id", "matched_dim", "s.*")
+    ranked = top_fraction_mean(long, ["call_id", "agent_slug", "matched_dim"], "sim", 0.30, 5)
+    order = F.struct(F.round("top_mean", 9) * -1, "agent_slug", "matched_dim")
+    best = F.min_by(F.struct("agent_slug", "matched_dim", F.col("top_mean").alias("score")), order).alias("b")
+    return ranked.groupBy("call_id").agg(best).select("call_id", "b.*")
+
+
 def soft_reclaim(unmatched: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Add ``reclaimed``: unmatched rows close enough to the agent after all.
 
@@ -94,13 +112,21 @@ def identify_calls(
 
     ``segments``: ``call_id, seg_idx`` (from 0 without gaps), ``start_s, end_s, text, embedding``
     (null where there is none). ``registry``: ``agent_slug, agent_name, embedding,
-    max_outside_sim``. Returns the labelled segments and one row per call.
+    max_outside_sim``. Returns the labelled segments and one row per call. Instead of ``embedding`` segments may have
+    ``embeddings``, a map from dimension to vector: the dimension of the best agent decides for the whole call.
 
     Stages that more than one later stage needs are written out once. The label passes use plain
     windows for calls of up to ``window_rows`` segments; longer calls run on blocks of
     ``block_rows`` and are written out between passes. Each call is decided by its own length.
     """
     s = settings
+    matched = None
+    if "embeddings" in segments.columns:
+        matched = materialize(choose_dimension(segments, registry, registry_bytes).select("call_id", "matched_dim"))
+        own = F.try_element_at("embeddings", F.col("matched_dim"))
+        segments = segments.drop("embedding").join(matched, "call_id", "left").withColumn(
+            "embedding", F.when(F.size(own) == F.col("matched_dim"), own)
+        ).drop("embeddings", "matched_dim")
     scored = materialize(
         score_vectors(segments.select("call_id", "seg_idx", "embedding"), registry, registry_bytes=registry_bytes)
         .select("call_id", "seg_idx", F.when(F.col("embedding").isNotNull(), F.col("scores")).alias("scores"))
@@ -169,6 +195,8 @@ def identify_calls(
             F.max("call_agent").alias("call_agent"),
             F.max("agent_threshold").alias("agent_threshold"),
             F.avg(F.when(F.col("hit"), F.col("sim"))).alias("hit_sim"),
+            F.sum(F.col("hit").cast("bigint")).alias("n_matches"),
+            F.max(F.size("embedding")).alias("dim"),
         )
     )
     gated = calls.where(
@@ -220,11 +248,20 @@ def identify_calls(
             F.lit(f" < {s.warn_below:.2f})"),
         ),
     )
-    speakers = passed.groupBy("call_id").agg(F.count_distinct("display").alias("n_speakers"))
-    summary = calls.join(speakers, "call_id").select(
+    by_speaker = passed.groupBy("call_id", "display").agg(
+        F.count("*").alias("turns"), F.round(F.sum(length), 6).alias("seconds")
+    )
+    speakers = by_speaker.groupBy("call_id").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("display").alias("speaker"), "turns", "seconds"))).alias("per_speaker")
+    )
+    changed = passed.select("call_id", "seg_idx", "role").join(
+        labelled.select("call_id", "seg_idx", F.col("role").alias("__before")), ["call_id", "seg_idx"]
+    ).groupBy("call_id").agg(F.sum((F.col("role") != F.col("__before")).cast("bigint")).alias("role_corrections"))
+    found = F.col("agent_slug") != ""
+    summary = calls.join(speakers, "call_id").join(changed, "call_id").select(
         "call_id", "agent_slug", F.col("call_agent").alias("agent_name"),
-        F.round(sim, 3).alias("agent_similarity"), "n_segments", "n_speakers", "speaker_mode",
-        F.round(F.when(F.col("agent_slug") != "", F.col("agent_threshold")).otherwise(F.lit(s.threshold)), 3).alias("threshold_used"),
-        warning.alias("warning"),
+        F.round(sim, 3).alias("agent_similarity"), "n_segments", F.size("per_speaker").cast("bigint").alias("n_speakers"), "speaker_mode",
+        F.round(F.when(found, F.col("agent_threshold")).otherwise(F.lit(s.threshold)), 3).alias("threshold_used"),
+        warning.alias("warning"), "n_matches", "per_speaker", "role_corrections", F.when(found, F.col("dim")).alias("matched_dim"),
     )
     return passed.drop("call_agent"), summary
