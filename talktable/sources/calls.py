@@ -85,27 +85,28 @@ def explode_phrases(calls: DataFrame) -> DataFrame:
     )
 
 
-def _first_filled(item: Column, names: list[str]) -> Column:
-    """First of several spellings of a field that is present and not blank."""
-    return F.coalesce(
-        *[F.nullif(F.try_variant_get(item, f"$.{n}", "string"), F.lit("")) for n in names]
-    )
+# The names under which the fields of a phrase come.
+SPELLINGS = {
+    "start": ["start", "startTime", "start_time"],
+    "end": ["end", "endTime", "end_time"],
+    "speaker": ["speaker", "speakerName", "name"],
+    "text": ["text", "content", "transcript", "phrase", "original"],
+}
 
 
 def normalize_phrases(raw: DataFrame, column: str = "json", keep: list[str] = ["call_id"]) -> DataFrame:
-    """Phrases from JSON arrays whose fields come under several names; empty spans are dropped."""
+    """Phrases from JSON arrays whose fields come under several names; empty spans are dropped.
+
+    Of several spellings the first that is present and not blank counts. Items that are no objects have no fields.
+    """
+    names = ", ".join(f"{n}: string" for spelled in SPELLINGS.values() for n in spelled)
     items = raw.select(
         *keep, F.posexplode(F.try_variant_get(F.try_parse_json(column), "$", "array<variant>")).alias("phrase_idx", "v")
     )
-    v = F.col("v")
-    # the fields are read from the document once, then converted
-    read = items.select(
-        *keep, "phrase_idx",
-        _first_filled(v, ["start", "startTime", "start_time"]).alias("start"),
-        _first_filled(v, ["end", "endTime", "end_time"]).alias("end"),
-        _first_filled(v, ["speaker", "speakerName", "name"]).alias("speaker"),
-        _first_filled(v, ["text", "content", "transcript", "phrase", "original"]).alias("text"),
-    )
+    # an item is taken apart once, then its fields are converted
+    fields = items.select(*keep, "phrase_idx", F.try_variant_get("v", "$", f"struct<{names}>").alias("f"))
+    first = lambda field: F.coalesce(*[F.nullif(F.col(f"f.{n}"), F.lit("")) for n in SPELLINGS[field]])
+    read = fields.select(*keep, "phrase_idx", *[first(field).alias(field) for field in SPELLINGS])
     time = lambda c: F.round(to_seconds(F.coalesce(F.col(c), F.lit("0"))), 3)
     text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
     return read.select(
