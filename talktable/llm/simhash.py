@@ -13,13 +13,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talktable.llm.common import components
-from talktable.llm.vectors import BLOCK, matrix
+from talktable.llm.common import components, written
+from talktable.llm.vectors import BLOCK
 from talktable.storage import materialize
 
 BITS = 2
-#: places of the parities by which near copies are told apart before their sets are compared
+#: least number of places of the parities by which near copies are told apart before their sets are compared
 PARITIES = 2048
+#: hubs of each shingle that its other nodes are compared with before all pairs
+HUBS = 3
+#: places of node ids in the table that tells which texts are needed
+SIEVE = 1 << 18
+#: shingles of partners that a set is compared with in one piece
+SHINGLES = 1 << 18
 #: (first bit, length) of the three segments on the ring, and of the two halves of each.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 HALVES = (((0, 11), (11, 11)), ((22, 11), (33, 10)), ((43, 11), (54, 10)))
@@ -36,14 +42,16 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     n = max(1, len(words) - width + 1)
     spans = zip(starts[:n].tolist(), ends[min(width, len(words)) - 1:].tolist())
     digest = xxhash.xxh64_intdigest
+    return majority(np.fromiter((digest(flat[s:e], seed) for s, e in spans), np.uint64, n))
+
+
+def majority(hashes: np.ndarray, step: int = 1 << 16) -> int:
+    """Signed 64 bits, each set if it is in over half the hashes."""
     total = np.zeros(64, np.int64)
-    step = 1 << 16
-    hashes = np.fromiter((digest(flat[s:e], seed) for s, e in spans), np.uint64, n)
-    for at in range(0, n, step):
+    for at in range(0, len(hashes), step):
         part = hashes[at:at + step].astype("<u8")
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(total * 2 > n, bitorder="little")
-    return int(bits.view("<i8")[0])
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
@@ -163,11 +171,35 @@ def rarest(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndar
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
-    """Parity of the hashes that fall on each of ``PARITIES`` places; two sets differ in as many elements or more as in places."""
-    odd = np.bincount(hashes.view(np.uint64) % np.uint64(PARITIES), minlength=PARITIES).astype(np.uint8) & 1
+    """Parity of the hashes that fall on each of some places; two sets differ in as many elements or more as in places.
+
+    There are ``PARITIES`` places, for large sets the first power of two above their size: fewer would be full.
+    """
+    places = max(PARITIES, 1 << int(len(hashes)).bit_length())
+    odd = np.bincount(hashes.view(np.uint64) % np.uint64(places), minlength=places).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view("<i8")
 
 
+def folded(odd: np.ndarray, words: int) -> np.ndarray:
+    """Parities of the same hashes on fewer places."""
+    while len(odd) > words:
+        odd = odd[:len(odd) // 2] ^ odd[len(odd) // 2:]
+    return odd
+
+
+def _unlike(a: str, b: str) -> Column:
+    """Number of places in which the parities of two columns differ, on the places of the shorter one if it has half as many."""
+    half = lambda c: F.zip_with(
+        F.slice(c, F.lit(1), (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2 + 1).cast("int"), (F.size(c) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y)
+    )
+    sum_of = lambda x, y: F.aggregate(F.zip_with(x, y, _differing), F.lit(0), lambda n, d: n + d)
+    return (
+        F.when(F.size(a) == F.size(b), sum_of(F.col(a), F.col(b)))
+        .when(F.size(a) == 2 * F.size(b), sum_of(half(a), F.col(b)))
+        .when(F.size(b) == 2 * F.size(a), sum_of(F.col(a), half(b))).otherwise(0)
+    )
+
+
 def _common_shingles(rows: DataFrame, width: int, docs: int = 4000, most: int = 100_000) -> np.ndarray:
     """Sorted hashes that several rows of a sample have; they only make keys that fewer rows share."""
 
@@ -185,14 +217,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 cap: int = 8) -> DataFrame:
     """(_key, component_id): texts linked by a Jaccard similarity of ``similarity`` or more of their shingle sets.
 
-    Exact up to equal 64-bit hashes, whatever the size of the table or of the texts. Two such sets have one of their rarest shingles in
-    common (see ``rarest``), and the first of those leaves enough of both sets to reach the similarity. Nor do they differ
-    in more parities than in elements (see ``parities``). What passes is compared by the whole sets. Which shingles count as frequent is learned from a sample and changes no result.
+    Exact up to equal 64-bit hashes, whatever the size of the table or of the texts, and every link is checked on the whole
+    sets. SimHash goes first: fingerprints of the sets that the ring finds near give the candidates that connect most copies.
+    What they leave comes from a lossless filter: two similar sets have one of their rarest shingles in common (see ``rarest``), and the
+    first of those leaves enough of both sets. From then on only pairs whose ends are still apart are looked at: those of a
+    shingle's nodes with a hub of it, for ``HUBS`` hubs, then all pairs of shingles that at most ``cap`` nodes have, and block
+    against block those of the others. Sets do not differ in more parities than in elements (see ``parities``), which rules out
+    most pairs before their sets are fetched. Which shingles count as frequent is learned from a sample and changes no result.
 
-    Equal sets are one node. A shingle that more than ``cap`` nodes are met by is not joined: its nodes
-    are compared with the one of the smallest id, which links most copies of one text; only the rest is
-    compared with all, block against block, by the parities first. Null, empty and blank texts
-    are one group. Rows with a null id get no row.
+    Equal sets are one node, so copies make no links. Null, empty and blank texts are one group. Rows that share an id are one
+    document, linked by any of its texts. Rows with a null id get no row, and an empty table gives none. Other columns are not read.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_key"), F.col(text_col).alias("_text"))
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(rows, width))
@@ -204,77 +238,150 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 sets = [shingles(t.as_py(), width) for t in part.column("_text")]
                 yield pa.RecordBatch.from_arrays([
                     part.column("_key"), pa.array([hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in sets], pa.binary()),
-                    pa.array([len(v) for v in sets], pa.int32()), _lists([rarest(v, common.value, similarity) for v in sets]), _lists([parities(v) for v in sets]),
-                ], ["_key", "digest", "size", "rare", "odd"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column("_key"), _lists([shingles(t.as_py(), width) for t in part.column("_text")])], ["node", "set"])
-
-    printed = materialize(rows.mapInArrow(run, "_key long, digest binary, size int, rare array<bigint>, odd array<bigint>"))
-    nodes = materialize(printed.groupBy("digest", "size", "rare", "odd").agg(F.min("_key").alias("node")))
-    keyed = nodes.select("node", "size", F.posexplode("rare").alias("pos", "value"))
-    sizes = materialize(keyed.groupBy("value").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"))
-    shared = materialize(keyed.join(sizes, "value"))
-    few = shared.where(F.col("n") <= cap)
-    a = few.select("value", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("pos").alias("pos_a"))
-    b = few.select("value", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"))
-    left_over = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
-    enough = left_over / (F.col("size_a") + F.col("size_b") - left_over) >= similarity
-    pairs = a.join(b, "value").where((F.col("a") < F.col("b")) & enough)
-    many = shared.where(F.col("n") > cap)
-    spokes = many.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    differing = (1 - similarity) / (1 + similarity)  # at most this share of the sum of both sizes
-    about = lambda name: nodes.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("odd").alias(f"odd_{name}"))
-    apart = F.aggregate(F.zip_with("odd_a", "odd_b", _differing), F.lit(0), lambda n, d: n + d)
-
-    def reached(wanted: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose whole sets are similar enough."""
-        wanted = materialize(wanted)
-        met = wanted.select(F.col("a").alias("node")).unionByName(wanted.select(F.col("b").alias("node"))).distinct()
-        sets = materialize(rows.join(met, rows["_key"] == met["node"], "left_semi").mapInArrow(whole, "node long, set array<bigint>"))
-        of = lambda name: sets.select(F.col("node").alias(name), F.col("set").alias(f"set_{name}"))
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        alike = both / (F.size("set_a") + F.size("set_b") - both) >= similarity
-        return materialize(wanted.join(of("a"), "a").join(of("b"), "b").where(alike).select("a", "b"))
-
-    wanted = pairs.select("a", "b").unionByName(spokes).distinct().join(about("a"), "a").join(about("b"), "b")
-    links = reached(wanted.where(apart <= differing * (F.col("size_a") + F.col("size_b")) + 1e-6).select("a", "b"))
-
-    # nodes of frequent shingles that their hub does not link meet all nodes of the shingle, in blocks
-    rest = materialize(many.where("node <> hub").join(
-        links.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti"
-    ).select("value", "node"))
-    counts = rest.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_left"))
-    widths = materialize(many.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_right")).join(counts, "value"))
+                    pa.array([len(v) for v in sets], pa.int32()), pa.array([majority(v.view(np.uint64)) for v in sets], pa.int64()),
+                    _lists([rarest(v, common.value, similarity) for v in sets]), _lists([parities(v) for v in sets]),
+                ], ["_key", "digest", "size", "fp", "rare", "odd"])
+
+    printed = written(rows.mapInArrow(run, "_key long, digest binary, size int, fp long, rare array<bigint>, odd array<bigint>"))
+    first = printed.groupBy("digest").agg(F.min("_key").alias("node"))
+    whole = printed.join(first, "digest").where(F.col("_key") == F.col("node")).dropDuplicates(["digest"])
+    nodes = written(whole.select("digest", "node", "size", "fp", "odd"))
+    alike = _Verifier(rows, nodes.select("node", "size", "odd"), width, similarity)
+
+    # candidates by SimHash: nodes of one fingerprint, and the first ones of fingerprints that the ring links
+    firsts = written(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    end = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"node_{c}"))
+    ring = links(firsts.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    found = alike(same.unionByName(ring))
+    where = components(found)
+
+    # candidates by rare shingles, as long as a shingle's nodes are not in one component
+    keyed = whole.select("node", "size", F.posexplode("rare").alias("pos", "value"))
+    often = written(keyed.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = written(keyed.join(often, "value"))
+
+    def apart(shared: DataFrame, where: DataFrame, turn: int) -> DataFrame:
+        """Rows of the shingles whose nodes are in several components, with ``comp``, the ``main`` one, and a hub."""
+        placed = shared.join(where, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node"), F.col("size"), F.col("pos"), F.col("comp"))).alias("hub")
+        mixed = placed.groupBy("value").agg(hub, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        return written(placed.join(mixed.select("value", "hub"), "value"))
+
+    def enough(size_a: Column, pos_a: Column, size_b: Column, pos_b: Column) -> Column:
+        left_over = F.least(size_a - pos_a, size_b - pos_b)
+        return left_over / (size_a + size_b - left_over) >= similarity
+
+    for turn in range(HUBS):
+        held = apart(shared, where, turn)
+        if held.isEmpty():
+            break
+        hub = F.col("hub")
+        spokes = held.where((F.col("comp") != hub["comp"]) & enough(F.col("size"), F.col("pos"), hub["size"], hub["pos"]))
+        more = alike(spokes.select(F.least("node", hub["node"]).alias("a"), F.greatest("node", hub["node"]).alias("b")))
+        if not more.isEmpty():
+            found = found.unionByName(more)
+            where = components(found)
+        shared = held.drop("comp", "hub")
+
+    held = apart(shared, where, HUBS)
+    few = held.where(F.col("n") <= cap)
+    side = lambda c: few.select("value", F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("pos").alias(f"pos_{c}"), F.col("comp").alias(f"comp_{c}"))
+    fits = enough(F.col("size_a"), F.col("pos_a"), F.col("size_b"), F.col("pos_b"))
+    pairs = side("a").join(side("b"), "value").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & fits)
+    found = found.unionByName(alike(pairs.select("a", "b")))
+
+    # nodes outside the main component of a frequent shingle meet all its nodes, in blocks
+    many = held.where(F.col("n") > cap).drop("hub", "n")
+    main = many.groupBy("value", "comp").agg(F.count("*").alias("n")).groupBy("value").agg(
+        F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n")
+    )
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    widths = written(main.select("value", F.col("most.comp").alias("main"), blocks(F.col("n") - F.col("most.n")).alias("n_left"), blocks(F.col("n")).alias("n_right")).where("n_left > 0"))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    full = lambda side: side.join(widths, "value").join(nodes.select("node", "size", "odd"), "node")
-    left = full(rest).select("value", "node", "size", "odd", own("n_left").alias("l"), every("n_right").alias("r"))
-    right = full(many.select("value", "node")).select("value", "node", "size", "odd", own("n_right").alias("r"), every("n_left").alias("l"))
+    full = many.drop("size", "pos").join(widths, "value").join(nodes.select("node", "size", "odd"), "node")
+    columns = ["value", "node", "comp", "size", "odd"]
+    left = full.where("comp <> main").select(*columns, own("n_left").alias("l"), every("n_right").alias("r"), F.lit(True).alias("left"))
+    right = full.select(*columns, own("n_right").alias("r"), every("n_left").alias("l"), F.lit(False).alias("left"))
+    differing = _differing_share(similarity)
 
     def compare(block: pa.Table) -> pa.Table:
-        is_left, ids, size = (block.column(c).to_numpy() for c in ("left", "node", "size"))
-        odd, others = matrix(block.column("odd")), np.flatnonzero(~is_left)
+        is_left, ids, comp, size = (block.column(c).to_numpy() for c in ("left", "node", "comp", "size"))
+        # unsigned, as bits of negative numbers are counted in their absolute values
+        full = [np.array(o, np.int64).view(np.uint64) for o in block.column("odd").to_pylist()]
+        odd, others = np.stack([folded(o, PARITIES // 64) for o in full]), np.flatnonzero(~is_left)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def apart(i: int, j: int) -> int:
+            words = min(len(full[i]), len(full[j]))
+            return int(np.bitwise_count(folded(full[i], words) ^ folded(full[j], words)).sum(dtype=np.int64))
+
         for row in np.flatnonzero(is_left):
-            n = np.bitwise_count(odd[row] ^ odd[others]).sum(axis=1, dtype=np.int64)
             both = size[row].astype(np.int64) + size[others]
-            near = others[(n <= differing * both + 1e-6) & (np.abs(size[row] - size[others]) <= differing * both + 1e-6) & (ids[others] != ids[row])]
+            near = others[(np.abs(size[row] - size[others]) <= differing * both + 1e-6) & (comp[others] != comp[row])]
+            n = np.bitwise_count(odd[row] ^ odd[near]).sum(axis=1, dtype=np.int64)
+            near = near[n <= differing * (size[row].astype(np.int64) + size[near]) + 1e-6]
+            if len(full[row]) > odd.shape[1]:
+                near = np.array([i for i in near.tolist() if apart(row, i) <= differing * (int(size[row]) + int(size[i])) + 1e-6], np.int64)
             a.append(np.minimum(ids[row], ids[near]))
             b.append(np.maximum(ids[row], ids[near]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    blocks = left.withColumn("left", F.lit(True)).unionByName(right.withColumn("left", F.lit(False)))
-    met = materialize(blocks.groupBy("value", "l", "r").applyInArrow(compare, "a long, b long")).distinct()
-    roots = components(links.unionByName(reached(met)))
-    classes = nodes.join(roots, "node", "left").select("digest", "node", F.coalesce("root", "node").alias("root"))
-    classes = materialize(classes)
+    met = left.unionByName(right).groupBy("value", "l", "r").applyInArrow(compare, "a long, b long")
+    roots = components(found.unionByName(alike(written(met.distinct()))))
+    classes = materialize(nodes.select("digest", "node").join(roots, "node", "left").select("digest", "node", F.coalesce("root", "node").alias("root")))
     least = classes.groupBy("root").agg(F.min("node").alias("component_id"))
     classes = materialize(classes.join(least, "root").select("digest", "component_id"))
-    return printed.join(classes, "digest").select("_key", "component_id")
+    return printed.select("_key", "digest").join(classes, "digest").select("_key", "component_id")
+
+
+def _differing_share(similarity: float) -> float:
+    """Two sets of this similarity differ in at most this share of the sum of their sizes."""
+    return (1 - similarity) / (1 + similarity)
+
+
+class _Verifier:
+    """Keeps those of the pairs (a, b) of nodes whose whole shingle sets are similar enough."""
+
+    def __init__(self, rows: DataFrame, nodes: DataFrame, width: int, similarity: float):
+        self.rows, self.nodes, self.width, self.similarity = rows, nodes, width, similarity
+
+    def _sets(self, met: DataFrame) -> DataFrame:
+        """(node, set) of the nodes met. A table of at most ``SIEVE`` rows goes to all executors, so that few other texts are shuffled."""
+        width = self.width
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, len(batch), 256):
+                    part = batch.slice(at, 256)
+                    yield pa.RecordBatch.from_arrays([part.column("_key"), _lists([shingles(t.as_py(), width) for t in part.column("_text")])], ["id", "set"])
+
+        place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
+        sieve = met.select(place("node").alias("place")).distinct()
+        kept = self.rows.join(F.broadcast(sieve), place("_key") == F.col("place"), "left_semi")
+        sets = kept.mapInArrow(whole, "id long, set array<bigint>")
+        copies = sets.join(met, sets["id"] == met["node"]).groupBy("node", F.xxhash64("set").alias("h"))
+        return copies.agg(F.first("set").alias("set")).drop("h")
+
+    def __call__(self, wanted: DataFrame) -> DataFrame:
+        about = lambda c: self.nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("odd").alias(f"odd_{c}"))
+        unlike = _unlike("odd_a", "odd_b")
+        both = F.col("size_a") + F.col("size_b")
+        close = wanted.distinct().join(about("a"), "a").join(about("b"), "b").where(unlike <= _differing_share(self.similarity) * both + 1e-6)
+        close = written(close.select("a", "b", "size_b"))
+        if close.isEmpty():
+            return close.select("a", "b")
+        met = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
+        sets = written(self._sets(materialize(met)))
+        # a node's set is sent once for so many shingles of its partners
+        salts = close.groupBy("a").agg(F.ceil((F.sum("size_b") + 1) / SHINGLES).alias("salts"))
+        dealt = close.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
+        theirs = dealt.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+        own = dealt.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+        common = F.size(F.array_intersect("set_a", "set_b"))
+        similar = common / (F.size("set_a") + F.size("set_b") - common) >= self.similarity
+        return written(theirs.join(own, ["a", "salt"]).where(similar).select("a", "b"))
 
 
 def _lists(sets: list[np.ndarray]) -> pa.Array:
@@ -285,8 +392,10 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows of ``docs`` whose id is the smallest of its group of near copies, with the columns of ``docs``.
 
-    Rows with a null id cannot be named as a representative and stay.
+    Rows that share an id are one document: they stay if the id stands for the group of any of its texts. Rows with a null
+    id cannot be named as a representative and stay.
     """
     found = near_copies(docs, id_col, text_col, width, similarity)
-    gone = materialize(found.where("_key <> component_id").select("_key").distinct())
+    stays = F.max((F.col("_key") == F.col("component_id")).cast("int"))
+    gone = materialize(found.groupBy("_key").agg(stays.alias("stays")).where("stays = 0").select("_key"))
     return docs.join(gone, docs[id_col] == gone["_key"], "left_anti")

@@ -115,3 +115,51 @@ def test_stages(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p.doc_id for p in pieces} == set(rows)
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
+
+
+def test_stages_on_odd_tables(spark, tmp_path, make):
+    """Nulls, repeated ids, clashing names and an empty table pass every stage."""
+    tables(spark, tmp_path)
+    text = "some words that make a line of a document in the corpus here"
+    rows = [(1, text), (1, text), (2, text + " once"), (3, None), (3, ""), (None, text), (None, None), (4, " \n ")]
+    for table in (rows, []):
+        docs = make(table, extra=["_key", "_score", "score", "removed", "_text", "node", "digest", "ids"])
+        for name, stage in corpus_pipeline.STAGES[1:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns, name
+            assert all(r.removed == "mine" and r._key == "mine" for r in out.collect())
+            docs = out
+        left = sorted((r.doc_id or 0, r.text or "") for r in docs.collect())
+        if table:
+            # documents 1 and 2 share eight shingles of nine; blank texts are one group, whose first is document 3
+            assert [i for i, _ in left] == [0, 0, 1, 1, 3, 3]
+        else:
+            assert left == []
+        assert corpus_pipeline.STAGES[0][1](spark, make(table, extra=["_score", "score"]), str(tmp_path)).columns == make(table, extra=["_score", "score"]).columns
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert {r.doc_id or 0 for r in packed.collect()} == {i for i, _ in left}
+
+
+def test_an_id_with_two_texts_stays_while_one_of_them_does(make):
+    rng = random.Random(8)
+    a, b = prose(rng, 40), prose(rng, 40)
+    kept = simhash.keep_representatives(make([(1, a), (2, a), (2, b), (3, b)]))
+    # document 2 stands for the group of its second text
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, a), (2, a), (2, b)])
+
+
+def test_long_texts_that_differ_are_told_apart_before_their_sets_are_fetched(make):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(9000)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:8900])), (3, " ".join(base[:5000] + [f"x{i}" for i in range(4000)]))]
+    got = {r._key: r.component_id for r in simhash.near_copies(make(rows), cap=1).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    import numpy as np
+
+    for n in (10, 2100, 9000):
+        one = np.array(rng.sample(range(1 << 60), n), np.int64)
+        two = np.concatenate([one[: n * 9 // 10], np.array(rng.sample(range(1 << 60), n // 5), np.int64)])
+        p, q = (simhash.parities(x).view(np.uint64) for x in (one, two))
+        words = min(len(p), len(q))
+        apart = int(np.bitwise_count(simhash.folded(p, words) ^ simhash.folded(q, words)).sum())
+        assert 0 < apart <= len(set(one.tolist()) ^ set(two.tolist()))
