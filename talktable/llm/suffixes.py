@@ -126,23 +126,32 @@ def build_transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     ``text`` holds strings of symbols from 1 on, each closed by 0. The closing symbols differ, in text order.
     """
     n = len(text)
-    zeros = np.flatnonzero(text == 0)
-    rank = text.astype(np.int64) + len(zeros)
-    rank[zeros] = np.arange(len(zeros))
-    k = 1
-    while k < depth:
-        ahead = np.zeros(n, np.int64)
-        ahead[:-k] = rank[k:] + 1
-        key = rank * (n + 300) + ahead
-        order = np.argsort(key, kind="stable")
-        new = np.ones(n, np.int64)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        rank = np.empty(n, np.int64)
+    # eight symbols make the first key; what follows a closing symbol does not count
+    ahead = np.concatenate([text, np.zeros(8, text.dtype)]).astype(np.uint64)
+    key, going = np.zeros(n, np.uint64), np.ones(n, bool)
+    for j in range(8):
+        symbol = ahead[j:j + n]
+        key = key << np.uint64(8) | np.where(going, symbol, np.uint64(0))
+        going &= symbol != 0
+    order = np.argsort(key, kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = (key[order[1:]] != key[order[:-1]]) | ~going[order[1:]]
+    # ranks of 16 bits are sorted in linear time
+    small = np.uint16 if n <= 1 << 16 else np.int32
+    rank, k = np.empty(n, small), 8
+    rank[order] = np.cumsum(new) - 1
+    while k < depth and not new.all():
+        # in the order of what follows k symbols on: first the suffixes that end before
+        second = np.concatenate([np.arange(n - k, n), order[order >= k] - k]) if k < n else np.arange(n)
+        order = second[np.argsort(rank[second], kind="stable")]
+        follows = np.full(n, -1, np.int32)
+        follows[:max(0, n - k)] = rank[k:]
+        mine, theirs = rank[order], follows[order]
+        new = np.ones(n, bool)
+        new[1:] = (mine[1:] != mine[:-1]) | (theirs[1:] != theirs[:-1])
+        rank = np.empty(n, small)
         rank[order] = np.cumsum(new) - 1
         k *= 2
-        if rank[order[-1]] == n - 1:
-            break
-    order = np.argsort(rank, kind="stable")
     place = np.empty(n, np.int32)
     place[order] = np.arange(n, dtype=np.int32)
     return order, text[order - 1], place[order - 1]
