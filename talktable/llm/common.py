@@ -6,24 +6,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talktable.storage import materialize
 
 
-def attach(docs: DataFrame, facts: DataFrame, key: str, fill: dict[str, Column] | None = None) -> DataFrame:
-    """Columns of ``facts`` (one row per ``_key``) added to the rows of ``docs`` by ``docs[key]``.
-
-    A column of ``docs`` with the same name gives way. Rows without a partner, null keys among them, get ``fill``.
-    """
-    new = [c for c in facts.columns if c != "_key"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new and c != "_key"])
-    joined = rows.join(facts, rows[key] == facts["_key"], "left")
-    for name, value in (fill or {}).items():
-        joined = joined.withColumn(name, F.coalesce(F.col(name), value))
-    return joined.drop("_key")
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that ``df`` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

@@ -147,7 +147,7 @@ QUERIES = {
         op10_partitions, op11_runs, op12_personal, op13_prefixes,
     )
 }
-# Lines are cut at \n, forms are lower case with single spaces, ranks are (doc_id, offset).
+# Lines are cut at \n, forms are lower case with single spaces, ranks are (doc_id, offset); passages begin and end at cuts.
 ORACLE = {
     "op1_substring_dedup": r"""
 WITH parts AS (
@@ -157,19 +157,41 @@ WITH parts AS (
          list_sum(list_transform(p[1:i - 1], lambda x: length(x) + 1))::BIGINT AS before
   FROM (SELECT doc_id, p, unnest(range(1, length(p) + 1)) AS i FROM parts)
 ), forms AS (
-  SELECT doc_id, i, line, coalesce(before, 0) AS s, coalesce(before, 0) + length(line) + (i < n)::INT AS e,
-         lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS form
+  SELECT doc_id, coalesce(before, 0) AS s, coalesce(before, 0) + length(line) + (i < n)::INT AS e,
+         'line ' || lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS form
   FROM lines
-), ranked AS (
-  SELECT *, form <> '' AND length(string_split(form, ' ')) >= 5
-            AND row_number() OVER (PARTITION BY form ORDER BY doc_id, s) > 1 AS gone
-  FROM forms
+), split AS (
+  SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, string_split_regex(text, '[^\x20\x09-\x0D]+') AS g FROM parts
+), placed AS (
+  SELECT doc_id, i, lower(word) AS word, sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) AS e, length(word) AS n,
+         list_sum(list_transform(range(1, 2 * strlen(lower(word)), 2), lambda k: ('0x' || hex(encode(lower(word)))[k:k + 1])::BIGINT))::BIGINT AS h, count(*) OVER (PARTITION BY doc_id) AS words
+  FROM (SELECT doc_id, unnest(range(1, length(w) + 1)) AS i, unnest(w) AS word, unnest(g[1:length(w)]) AS gap FROM split)
+), cuts AS (
+  SELECT doc_id, i AS at FROM (SELECT *, lag(h) OVER (PARTITION BY doc_id ORDER BY i) AS last FROM placed) WHERE i = words OR ((last * 31 + h) * 2654435761) // 65536 % 4 = 0
+  UNION ALL SELECT DISTINCT doc_id, 0 FROM placed
+), bounds AS (
+  SELECT a.doc_id, a.at, b.at AS upto FROM cuts a ASOF JOIN cuts b ON a.doc_id = b.doc_id AND a.at + 24 <= b.at
+), passages AS (
+  SELECT b.doc_id, (f.e - f.n)::BIGINT AS s, l.e::BIGINT AS e, array_to_string(w[b.at + 1:b.upto], ' ') AS form
+  FROM bounds b JOIN placed f ON f.doc_id = b.doc_id AND f.i = b.at + 1 JOIN placed l ON l.doc_id = b.doc_id AND l.i = b.upto
+  JOIN (SELECT doc_id, list_transform(w, lambda x: lower(x)) AS w FROM split) d ON d.doc_id = b.doc_id
+), units AS (
+  SELECT doc_id, s, e, form FROM forms WHERE form <> 'line ' AND (length(string_split(form, ' ')) > 5 OR strlen(form) >= 37)
+  UNION ALL SELECT doc_id, s, e, form FROM passages
+), gone AS (
+  SELECT doc_id, s, e, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS reach
+  FROM (SELECT DISTINCT doc_id, s, e FROM (SELECT *, first_value(doc_id) OVER w AS d, first_value(e) OVER w AS until FROM units WINDOW w AS (PARTITION BY form ORDER BY doc_id, s))
+        WHERE doc_id > d OR s >= until)
+), islands AS (
+  SELECT doc_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum((s > reach)::INT) OVER (PARTITION BY doc_id ORDER BY s, e) AS k FROM gone) GROUP BY doc_id, k
+), cut AS (
+  SELECT doc_id, s, e, coalesce(lag(e) OVER w, 0) AS last, lead(s) OVER w IS NULL AS tail FROM islands WINDOW w AS (PARTITION BY doc_id ORDER BY s)
 ), kept AS (
-  SELECT doc_id, string_agg(substr(d.text, s + 1, e - s), '' ORDER BY i) FILTER (NOT gone) AS text,
-         '[' || coalesce(string_agg('{"start":' || s || ',"end":' || e || '}', ',' ORDER BY i) FILTER (gone), '') || ']' AS removed
-  FROM ranked JOIN documents d USING (doc_id) GROUP BY doc_id
+  SELECT doc_id, string_agg(substr(d.text, last + 1, s - last) || CASE WHEN tail THEN substr(d.text, e + 1) ELSE '' END, '' ORDER BY s) AS text,
+         '[' || string_agg('{"start":' || s || ',"end":' || e || '}', ',' ORDER BY s) || ']' AS removed
+  FROM cut JOIN documents d USING (doc_id) GROUP BY doc_id
 )
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, coalesce(removed, '[]') AS removed
+SELECT d.doc_id, CASE WHEN removed IS NULL THEN d.text ELSE kept.text END AS text, coalesce(removed, '[]') AS removed
 FROM documents d LEFT JOIN kept USING (doc_id)
 """,
     "op5_licenses": licenses.oracle_sql(),

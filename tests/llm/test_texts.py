@@ -60,9 +60,79 @@ def test_repeated_lines_odd_rows(make):
     got = substring.drop_repeated_units(make(ODD, extra=["removed", "digest", "start"]))
     assert got.count() == len(ODD) and dict(got.dtypes)["start"] == "string"
     assert {(r.doc_id, r.text) for r in got.collect()} == set(ODD)
+    # of seven words said 3,000 times about one passage stays
+    loop = "al be cu do el fi ga " * 3_000
+    left = substring.drop_repeated_units(make([(1, loop)])).first().text
+    assert left == substring.without(loop, plain_cuts([(1, loop)], 24)[1]) and 24 <= len(left.split()) < 60
     assert substring.drop_repeated_units(make([])).count() == 0
 
 
+def plain_cuts(rows, least, min_words=5, min_bytes=32):
+    """Removed spans by comparing the forms themselves, first occurrences in order of (id, offset)."""
+    import re
+
+    units = []
+    for i, text in rows:
+        at = 0
+        for line in text.split("\n"):
+            form, end = " ".join(line.lower().split()), min(len(text), at + len(line) + 1)
+            if form and (form.count(" ") + 1 >= min_words or len(form.encode()) >= min_bytes):
+                units.append((i, at, end, "line " + form))
+            at = end
+        words = list(re.finditer(r"[^\x20\x09-\x0d]+", text))
+        h = [sum(m.group().lower().encode()) for m in words]
+        cuts = [k for k in range(len(words) + 1) if k in (0, len(words)) or k > 1 and ((h[k - 2] * 31 + h[k - 1]) * 2654435761 >> 16) % 4 == 0]
+        for a in cuts:
+            b = next((c for c in cuts if c >= a + least), None)
+            if b is not None:
+                units.append((i, words[a].start(), words[b - 1].end(), " ".join(m.group().lower() for m in words[a:b])))
+    firsts, gone = {}, {i: [] for i, _ in rows}
+    for i, s, e, form in sorted(units):
+        first = firsts.setdefault(form, (i, e))
+        if i > first[0] or s >= first[1]:
+            gone[i].append({"start": s, "end": e})
+    return {i: substring.merged(sorted(g, key=lambda x: (x["start"], x["end"]))) for i, g in gone.items()}
+
+
+@pytest.mark.parametrize("passage", [6, 24])
+def test_passages_inside_lines_are_cut(make, passage):
+    rng = random.Random(passage)
+    shared = [prose(rng, rng.randint(8, 90)) for _ in range(12)]
+    rows = []
+    for i in range(120):
+        parts = [prose(rng, rng.randint(0, 40))]
+        for text in rng.sample(shared, rng.randint(0, 3)):
+            parts += [text.upper() if rng.random() < 0.2 else text, prose(rng, rng.randint(0, 30))]
+        rows.append((i, rng.choice([" ", "  ", "\n"]).join(parts)))
+    want = plain_cuts(rows, passage)
+    for r in substring.drop_repeated_units(make(rows), passage=passage).collect():
+        text = dict(rows)[r.doc_id]
+        assert [tuple(x) for x in r.removed] == want[r.doc_id]
+        assert r.text == substring.without(text, want[r.doc_id])
+    cut = sum(e - s for spans in want.values() for s, e in spans)
+    assert cut > 0.15 * sum(len(t) for _, t in rows)
+
+
+def test_most_of_a_repeated_passage_goes(make):
+    rng = random.Random(9)
+    passage = prose(rng, 60)
+    rows = [(i, prose(rng, 30) + " " + passage + " " + prose(rng, 30)) for i in range(20)]
+    for r in substring.drop_repeated_units(make(rows)).collect():
+        assert r.removed == [] if r.doc_id == 0 else sum(x.end - x.start for x in r.removed) >= 0.7 * len(passage)
+
+
+def test_lines_without_spaces_count_by_bytes(make):
+    line = "数据清洗流程会把重复的段落从语料中删除" * 3
+    got = {r.doc_id: r.text for r in substring.drop_repeated_units(make([(1, line), (2, "a\n" + line), (3, "短\nb"), (4, "短")])).collect()}
+    assert got == {1: line, 2: "a\n", 3: "短\nb", 4: "短"}
+
+
+def test_texts_of_one_id_are_cut_where_they_repeat(make):
+    line = "one two three four five six"
+    got = substring.drop_repeated_units(make([(1, line), (2, line + "\nx"), (2, "y\n" + line)], extra=["_key", "removed", "_of"]))
+    assert sorted((r.doc_id, r.text, r._key, r._of) for r in got.collect()) == [(1, line, "mine", "mine"), (2, "x", "mine", "mine"), (2, "y\n", "mine", "mine")]
+
+
 # repeated bytes
 
 
@@ -133,6 +203,36 @@ def test_pairwise_model_orders_and_cuts():
     assert (one.score(x) >= 0.5).all()
 
 
+def test_pairwise_fit_is_that_of_plain_gradient_steps():
+    """The same pairs, the loss written out, small steps along its gradient."""
+    rng = random.Random(6)
+    good = [prose(rng, rng.randint(5, 80)) + rng.choice(["", ".", " 12"]) for _ in range(40)]
+    bad = [rng.choice(["bla ", "!!! ### ", "word "]) * rng.randint(2, 40) + prose(rng, rng.randint(0, 30)) for _ in range(25)]
+    x, y = np.array([quality.features(t) for t in good + bad]), np.array([1] * 40 + [0] * 25)
+    pairs, ridge = 400, 0.05
+    model = quality.fit_pairs(x, y, pairs=pairs, ridge=ridge, seed=3)
+    z = np.concatenate([x, np.sqrt(x)], axis=1)
+    spread = z.std(0)
+    z = (z - z.mean(0)) / np.where(spread < 1e-9, 1.0, spread)
+    draw = np.random.default_rng(3)
+    d = z[draw.choice(np.flatnonzero(y == 1), pairs)] - z[draw.choice(np.flatnonzero(y == 0), pairs)]
+    w = np.zeros(z.shape[1])
+    step = 1 / (ridge + 0.25 * np.linalg.eigvalsh(d.T @ d / pairs).max())
+    for _ in range(20_000):
+        w -= step * (ridge * w - (d / (1 + np.exp(d @ w))[:, None]).mean(0))
+    assert np.allclose(model.weights, w, atol=1e-6)
+    scores = np.sort(z @ w)
+    assert abs(model.threshold - (scores[24] + scores[25]) / 2) < 1e-5
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-(z @ w - model.threshold))), atol=1e-5)
+
+
+def test_of_several_texts_of_an_id_the_first_is_learned_from(spark, make):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    rows = [(i, "a good long text of words " * 3 if i % 2 else "!! ## !!") for i in range(60)]
+    more = [(i, "zzz zz z") for i in range(60)]
+    assert (quality.train(make(rows), labels).weights == quality.train(make(more + rows), labels).weights).all()
+
+
 def test_quality_on_tables(spark, make):
     rng = random.Random(5)
     rows = [(i, prose(rng, 30) if i % 4 else "bla " * 30) for i in range(200)]
