@@ -105,13 +105,6 @@ _TICKS = """
         FROM v_system) GROUP BY ALL)"""
 
 
-def _ticks(spark, d):
-    truth = I.labels_at_ticks(W.turns(spark, d).withColumnRenamed("is_agent", "truth"), "truth", "turn_idx")
-    ours = I.labels_at_ticks(
-        W.system(spark, d).withColumn("ours", F.col("identified_speaker") == "AGENT"), "ours", "seg_idx")
-    return truth.join(ours, ["call_id", "tick"])
-
-
 def _sides(spark, d):
     truth = W.turns(spark, d).select("call_id", F.col("turn_idx").alias("idx"), "start_s", "end_s", F.col("is_agent").alias("truth"))
     ours = W.system(spark, d).select(
@@ -122,7 +115,9 @@ def _sides(spark, d):
 @query("label_at_tick", sql(f"""
     WITH {_TICKS} SELECT call_id, tick, truth, ours FROM ticks_t JOIN ticks_s USING (call_id, tick)""", "v_system"))
 def _(spark, d):
-    return _ticks(spark, d).select("call_id", "tick", "truth", "ours")
+    from ..operators.ticks import joint_labels
+
+    return joint_labels(*_sides(spark, d))
 
 
 @query("tick_accuracy", sql(f"""

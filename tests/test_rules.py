@@ -375,3 +375,19 @@ def test_tick_ranges_are_the_ticks(spark):
         truth, ours = sides
         listed = intervals.labels_at_ticks(truth, "truth", "idx").join(intervals.labels_at_ticks(ours, "ours", "idx"), ["call_id", "tick"])
         assert sorted(map(str, ticks.interval_accuracy(truth, ours).collect())) == sorted(map(str, ticks.tick_accuracy(listed).collect()))
+        assert sorted(map(str, ticks.joint_labels(truth, ours).select(*listed.columns).collect())) == sorted(map(str, listed.collect()))
+
+
+def test_no_tick_is_shuffled(spark):
+    """One long interval a side: its ticks are listed after the last exchange, in calls of any order of indexes."""
+    from talktable.operators import ticks
+
+    for idx in ((0, 1), (1, 0)):
+        rows = [(1, i, s, 300_000.0 + s, i == 0) for i, s in zip(idx, (0.0, 10.0))]
+        truth = spark.createDataFrame(rows, "call_id int, idx int, start_s double, end_s double, truth boolean")
+        joint = ticks.joint_labels(truth, truth.withColumnRenamed("truth", "ours"))
+        assert joint.count() == 600_021
+        low = joint.where("truth <> ours or truth is null").count(), joint.where("truth").agg(F.min("tick"), F.max("tick")).first()
+        assert low == (0, (0, 600_000) if idx[0] == 0 else (20, 600_020))
+        plan = joint._jdf.queryExecution().optimizedPlan().toString()
+        assert "sequence(tick" in plan.split("Window")[0] and plan.count("sequence(ceil") == 0
