@@ -2,23 +2,55 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: bytes of the bit masks of one reference that are kept between its columns
+MASK_BYTES = 8 << 20
+
 
 def word_distance(ref: list[str], hyp: list[str]) -> int:
-    """Word edits between two texts, with one bit per reference word (bit-parallel columns)."""
+    """Word edits between two texts, with one bit per reference word (bit-parallel columns).
+
+    A common head and tail are cut off first. Masks of the most frequent words are kept within ``MASK_BYTES``, others are made from
+    their positions where they are needed, so memory grows with the words and not with their square.
+    """
+    head, least = 0, min(len(ref), len(hyp))
+    while head < least and ref[head] == hyp[head]:
+        head += 1
+    tail = 0
+    while tail < least - head and ref[-1 - tail] == hyp[-1 - tail]:
+        tail += 1
+    ref, hyp = ref[head:len(ref) - tail], hyp[head:len(hyp) - tail]
     if not ref or not hyp:
         return max(len(ref), len(hyp))
-    where: dict[str, int] = {}
+    where: dict[str, list[int]] = {}
     for i, word in enumerate(ref):
-        where[word] = where.get(word, 0) | (1 << i)
+        where.setdefault(word, []).append(i)
+    size = len(ref) // 8 + 1
+    room = MASK_BYTES // size
+    often = where if len(where) <= room else set(heapq.nlargest(room, where, key=lambda w: len(where[w])))
+    kept: dict[str, int] = {}
+
+    def mask(word: str) -> int:
+        found = kept.get(word)
+        if found is None:
+            bits = bytearray(size)
+            for i in where[word]:
+                bits[i >> 3] |= 1 << (i & 7)
+            found = int.from_bytes(bits, "little")
+            if word in often:
+                kept[word] = found
+        return found
+
     full, top = (1 << len(ref)) - 1, 1 << (len(ref) - 1)
     plus, minus, distance = full, 0, len(ref)
     for word in hyp:
-        equal = where.get(word, 0)
+        equal = mask(word) if word in where else 0
         vertical = equal | minus
         horizontal = (((equal & plus) + plus) ^ plus) | equal
         up = minus | (full & ~(horizontal | plus))
@@ -33,13 +65,15 @@ def word_distance(ref: list[str], hyp: list[str]) -> int:
 _ERRORS = T.StructType([T.StructField(name, T.LongType()) for name in ("edits", "ref_words", "hyp_words")])
 
 
-@F.pandas_udf(_ERRORS)
-def _distance(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    pairs = [(r.split(), h.split()) for r, h in zip(ref, hyp)]
-    return pd.DataFrame(
-        [(word_distance(r, h), len(r), len(h)) for r, h in pairs],
-        columns=_ERRORS.names, dtype="int64",
-    )
+@F.arrow_udf(_ERRORS)
+def _distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """One pair at a time is taken out of the batch and into words; Spark bounds the batch in bytes."""
+    found: list[list[int]] = [[], [], []]
+    for r, h in zip(ref, hyp):
+        r, h = r.as_py().split(), h.as_py().split()
+        for column, n in zip(found, (word_distance(r, h), len(r), len(h))):
+            column.append(n)
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in found], _ERRORS.names)
 
 
 def word_errors(ref: Column, hyp: Column) -> Column:

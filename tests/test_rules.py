@@ -391,3 +391,37 @@ def test_no_tick_is_shuffled(spark):
         assert low == (0, (0, 600_000) if idx[0] == 0 else (20, 600_020))
         plan = joint._jdf.queryExecution().optimizedPlan().toString()
         assert "sequence(tick" in plan.split("Window")[0] and plan.count("sequence(ceil") == 0
+
+
+def test_word_errors_hold_one_pair(monkeypatch):
+    """Memory is that of one pair's words: no masks of all words of a long text, no words of a whole batch."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from talktable.operators import words
+
+    def peak(run):
+        tracemalloc.start()
+        got = run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return got, most
+
+    ref = [f"w{i}" for i in range(30_000)]
+    got, most = peak(lambda: words.word_distance(ref, ["x", *ref[2:20], "y"]))
+    assert got == len(ref) - 18 and most < 20e6
+    ref = [f"w{i}" for i in range(30_000)]
+    every = ["x", *ref[1::3000], "y"]
+    got, most = peak(lambda: words.word_distance(ref[::-1], every))
+    assert got >= len(ref) - len(every) and most < 20e6
+    texts = pa.array([" ".join(f"{j}_{i}" for i in range(300)) for j in range(1000)])
+    got, most = peak(lambda: words._distance.func(texts, texts))
+    assert got.to_pylist() == [{"edits": 0, "ref_words": 300, "hyp_words": 300}] * 1000 and most < 5e6
+    rng = random.Random(5)
+    pairs = [([rng.choice("abcde") for _ in range(rng.randint(0, 70))], [rng.choice("abcdef") for _ in range(rng.randint(0, 70))]) for _ in range(60)]
+    plain = [edits(r, h) for r, h in pairs]
+    for room in (0, 20, 1 << 20):
+        monkeypatch.setattr(words, "MASK_BYTES", room)
+        assert [words.word_distance(r, h) for r, h in pairs] == plain
