@@ -251,6 +251,34 @@ def test_quality_on_tables(spark, make):
     assert quality.keep_good(make([]), labels).count() == 0
 
 
+def test_every_labelled_document_is_learned_from(spark, make, monkeypatch):
+    """All pairs of the documents that are not held out, in one block and in many; the cut is that of all scores."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(5, 60)) if i % 9 else "bla !! " * rng.randint(1, 30) + prose(rng, 5)) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 9 > 0)) for i in range(300)], "doc_id long, quality int")
+    kept = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    x, y = np.array([quality.features(t) for _, t in kept]), np.array([int(i % 9 > 0) for i, _ in kept])
+    z = np.concatenate([x, np.sqrt(x)], axis=1)
+    spread = z.std(0)
+    z = (z - z.mean(0)) / np.where(spread < 1e-9, 1.0, spread)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    model, local = quality.train(make(rows), labels), quality.fit_pairs(x, y)
+    slope = 1e-3 * model.weights - (d / (1 + np.exp(d @ model.weights))[:, None]).mean(0)
+    assert np.abs(slope).max() < 1e-7 and np.allclose(model.weights, local.weights, atol=1e-6)
+    scores = np.sort(z @ model.weights)
+    at = int((y == 0).sum())
+    assert abs(model.threshold - (scores[at - 1] + scores[at]) / 2) < 1e-9
+    # small blocks: each document is in one with both labels, those of the rarer label in several
+    monkeypatch.setattr(quality, "BLOCK", 20)
+    monkeypatch.setattr(quality, "RARE", 12)
+    measured = spark.createDataFrame([(i, int(b), a.tolist()) for (i, _), a, b in zip(kept, x, y)], "_key long, y int, x array<double>")
+    met = [[(r["_key"], r["y"]) for r in b["rows"]] for b in quality.blocks(measured, len(y) - at, at).collect()]
+    assert len(met) > 5 and all({1, 0} == {label for _, label in b} for b in met)
+    assert {k for b in met for k, _ in b} == {i for i, _ in kept}
+    many = quality.train(make(rows), labels)
+    assert ((many.score(x) >= 0.5) == (model.score(x) >= 0.5)).mean() > 0.95
+
+
 # token counts
 
 
