@@ -14,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talktable.llm.common import written
 from talktable.storage import materialize
 
 SCHEMA = pa.schema([
@@ -44,14 +45,14 @@ class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit values, from the definition of a byte-level tokenizer.
 
     Pre-tokens never hold a space inside, and a space before a character that is not white space starts one.
-    So a text may be cut at such spaces, and each piece keeps its ids; they are remembered for ``remember``
-    pieces. Texts in which a space meets other white space are encoded whole. With ``added`` the file's added
+    So a text may be cut at such spaces, and each piece keeps its ids; they are remembered for ``remember`` to twice as many
+    pieces, those met of late. Texts in which a space meets other white space are encoded whole. With ``added`` the file's added
     tokens are found in a text first and cut it, as the tokenizer's own library does; without, their names are ordinary text.
     """
 
     _ODD = re.compile(r" (?:\s|$)")
 
-    def __init__(self, definition: str, remember: int = 500_000, added: bool = False):
+    def __init__(self, definition: str, remember: int = 1 << 16, added: bool = False):
         import tiktoken
 
         model = json.loads(definition)
@@ -61,6 +62,7 @@ class Encoder:
         self._ids = coder.encode_ordinary
         self.remember = remember
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         found = model.get("added_tokens", ()) if added else ()
         if any(t.get(flag) for t in found for flag in ("single_word", "lstrip", "rstrip")):
             raise ValueError("added tokens that take white space or whole words only are not supported")
@@ -84,10 +86,11 @@ class Encoder:
         for word in rest:
             ids = known.get(word)
             if ids is None:
-                ids = self._encode(" " + word)
+                ids = self.older.get(word) or self._encode(" " + word)
                 if len(word) <= 64:
                     if len(known) >= self.remember:
-                        known.clear()
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[word] = ids
             out.append(ids)
         return (self._encode(first) if first else b"") + b"".join(out)
@@ -226,7 +229,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         yield packer.leftovers(task)
 
     rows = docs.select(F.col(id_col).cast("long").alias("_key"), F.col(text_col).alias("_text"))
-    packed = materialize(rows.mapInArrow(run, DDL))
+    packed = written(rows.mapInArrow(run, DDL))
     done, level = packed.where("not open"), 0
     while True:
         left = packed.where("open")

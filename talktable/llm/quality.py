@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talktable.llm.common import unused
+from talktable.llm.common import unused, written
 from talktable.storage import materialize
 
 _LOWER = bytes(range(97, 123))
@@ -203,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = [features(t.as_py()) for t in batch.column("_text")]
             yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_y").cast(pa.int32()), pa.array(found, pa.list_(pa.float64()))], schema=schema)
 
-    measured = materialize(rows.mapInArrow(run, "_key long, y int, x array<double>"))
+    measured = written(rows.mapInArrow(run, "_key long, y int, x array<double>"))
     counted = {r["y"]: r["count"] for r in measured.groupBy("y").count().collect()}
     good, bad = counted.get(1, 0), counted.get(0, 0)
     if not good or not bad:

@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -18,9 +17,12 @@ _SPACE = re.compile(r"\s+")
 #: one place in so many words is a cut, by the words before it
 STEP = 4
 #: characters of the texts that are looked at together
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: bits of the table that tells which digests occur again
 SIEVE_BITS = 26
+#: rows whose texts are cut together
+ROWS = 256
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def lines(text: str, separator: str = "\n") -> Iterator[tuple[int, int, str]]:
@@ -185,20 +187,23 @@ def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of that name is replaced. An empty table gives an empty one.
     """
     span = F.struct("start", "end")
-    cuts = repeated_units(docs, id_col, text_col, min_words, min_bytes, passage, separator).groupBy("_key", "_of").agg(
-        F.sort_array(F.collect_set(span)).alias("cuts")
+    cuts = written(
+        repeated_units(docs, id_col, text_col, min_words, min_bytes, passage, separator).groupBy("_key", "_of").agg(
+            F.sort_array(F.collect_set(span)).alias("cuts")
+        )
     )
     rows = docs.drop(removed)
     same = (rows[id_col] == cuts["_key"]) & (F.xxhash64(rows[text_col]) == cuts["_of"])
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
 
-    @F.pandas_udf("text string, removed array<struct<start: bigint, end: bigint>>")
-    def rest(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
-        spans = [merged(c) for c in cuts]
-        return pd.DataFrame({
-            "text": pd.Series([t if t is None else without(t, s) for t, s in zip(texts, spans)], dtype=object),
-            "removed": pd.Series([[{"start": a, "end": b} for a, b in s] for s in spans], dtype=object),
-        })
+    @F.arrow_udf("text string, removed array<struct<start: bigint, end: bigint>>")
+    def rest(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+        left, gone = [pa.array([], texts.type)], [pa.array([], _SPANS)]
+        for at in range(0, len(texts), ROWS):
+            spans = [merged(c) for c in cuts.slice(at, ROWS).to_pylist()]
+            left.append(pa.array([t if t is None else without(t, s) for t, s in zip(texts.slice(at, ROWS).to_pylist(), spans)], texts.type))
+            gone.append(pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS))
+        return pa.StructArray.from_arrays([pa.concat_arrays(left), pa.concat_arrays(gone)], ["text", "removed"])
 
     made = rest(rows[text_col], F.coalesce(cuts["cuts"], none))
     kept = [made["text"].alias(c) if c == text_col else rows[c] for c in rows.columns]
